@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.llm.mixing import mix_sources
+from millrace.llm.ngram_join import ngram_jaccard_join
 from millrace.llm.sharding import assign_shards
 from millrace.llm.tokencount import count_tokens
 from millrace.llm.urlfilter import filter_urls, url_host
@@ -20,6 +21,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -72,6 +77,7 @@ FROM p LEFT JOIN hit ON p.page_id = hit.page_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_token_counts": op3_token_counts,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
