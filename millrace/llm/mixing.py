@@ -36,6 +36,28 @@ def source_targets(sizes: DataFrame, pattern: tuple[float, ...], share: float, c
     return s.select("source", "source_size", target.alias("target"))
 
 
+def _draw(r: DataFrame) -> DataFrame:
+    """One round of drawing: of the documents not drawn so far that fit into the source's room, the
+    first ones in rank whose sizes add up to the room at most; ``room`` is reduced by them.
+
+    Sums over (source, bucket) place every bucket, and only inside a bucket rows are ordered.
+    """
+    open_ = (F.col("p") > 0) & ~F.col("drawn") & (F.col("size") <= F.col("room"))
+    r = r.withColumn("n", F.when(open_, F.col("size")).otherwise(F.lit(0)))
+    sums = r.groupBy("source", "bucket").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # at most one row per source and bucket
+    base = sums.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    r = r.join(base, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2"))).drop("s2", "b2")
+    inside = Window.partitionBy("source", "bucket").orderBy("rank", "draw", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = r.withColumn("upto", F.col("base") + F.sum("n").over(inside))
+    r = r.withColumn("now", open_ & (F.col("upto") <= F.col("room")))
+    got = r.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("now"), F.col("size"))), F.lit(0)).alias("got"))
+    r = r.join(got.select(F.col("source").alias("s2"), "got"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    r = r.withColumn("drawn", F.col("drawn") | F.col("now")).withColumn("room", F.col("room") - F.col("got"))
+    return r.drop("n", "base", "upto", "now", "got")
+
+
 def mix_sources(
     docs: DataFrame,
     key: str = "doc_id",
@@ -46,6 +68,7 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
     buckets: int = 512,
+    rounds: int = 3,
     seed: int = 17,
 ) -> DataFrame:
     """(key, size, source_size, target, taken, copies) for every row of ``docs``.
@@ -55,7 +78,8 @@ def mix_sources(
     part is certain.  The rest is an inclusion probability p, and documents are ranked by
     U / (1 - U) divided by p / (1 - p) with U from a hash of key, text and ``seed``: Pareto order sampling
     at the fixed size that the source still needs, counted in words.  The first documents in rank whose
-    sizes fit into it are drawn; of the others, the one that fills the rest best is drawn as well.
+    sizes fit into it are drawn; ``rounds`` - 1 more rounds fill what a long document left open with the
+    next ones in rank that are short enough.
 
     Ranks are cut into ``buckets`` per source; sums over buckets place every bucket, and only inside a
     bucket rows are ordered, so a source with most of the rows is spread over all tasks.
@@ -75,43 +99,26 @@ def mix_sources(
     rows = cut(rows)  # the texts are read once
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("tilted"))
     targets = source_targets(per.select("source", "source_size"), pattern, share, cap)
-    plan = targets.alias("t").join(per.select(F.col("source").alias("s2"), "tilted"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    plan = targets.join(per.select(F.col("source").alias("s2"), "tilted"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     plan = plan.withColumn("per_weight", F.when(F.col("tilted") > 0, F.col("target") / F.col("tilted")).otherwise(F.lit(0.0)))
-    r = rows.alias("r").join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    r = rows.join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     expected = F.least(F.col("per_weight") * F.col("w"), F.lit(float(cap)))
     u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     r = r.withColumn("whole", F.floor(expected)).withColumn("p", expected - F.col("whole"))
-    # odds of the draw over odds of inclusion; q / (1 + q) keeps the order and lies in 0..1
-    q = (u / (1 - u)) * ((1 - F.col("p")) / F.col("p"))
+    # Odds of the draw over odds of inclusion, times the source's own odds; q / (1 + q) keeps the order,
+    # and spreads evenly over 0..1 where the documents of a source weigh about the same.
+    fair = F.col("per_weight") - F.floor("per_weight")
+    odds = F.when(fair > 0, fair / (1 - fair)).otherwise(F.lit(1.0))
+    q = (u / (1 - u)) * ((1 - F.col("p")) / F.col("p")) * odds
     r = r.withColumn("rank", F.when(F.col("p") > 0, q / (1 + q)).otherwise(F.lit(1.0)))
-    r = r.withColumn("bucket", F.least(F.floor(F.col("rank") * buckets), F.lit(buckets - 1)).cast("int"))
-    drawable = F.when(F.col("p") > 0, F.col("size")).otherwise(F.lit(0))
-
-    sums = r.groupBy("source", "bucket").agg(F.sum(drawable).alias("n"), F.sum(F.col("size") * F.col("whole")).alias("sure"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most buckets rows per source
-    base = sums.select(
-        F.col("source").alias("s2"),
-        F.col("bucket").alias("b2"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
-        F.sum("sure").over(Window.partitionBy("source")).alias("sure"),
-    )
-    r = r.join(base, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2"))).drop("s2", "b2")
-    inside = Window.partitionBy("source", "bucket").orderBy("rank", "draw", "key")
-    r = r.withColumn("upto", F.col("base") + F.sum(drawable).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    r = r.withColumn("nth", F.row_number().over(inside))
-    r = r.withColumn("room", F.col("target") - F.col("sure"))
-    r = r.withColumn("drawn", (F.col("p") > 0) & (F.col("upto") <= F.col("room")))
-    # what the ranked documents leave open, and the largest other document that fits into it
-    got = r.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0)).alias("got"), F.first("room").alias("room"))
-    gap = got.select(F.col("source").alias("s2"), (F.col("room") - F.col("got")).alias("gap"))
-    left = r.where(~F.col("drawn") & (F.col("p") > 0)).join(gap, F.col("source").eqNullSafe(F.col("s2")))
-    best = F.max_by(F.struct("bucket", "nth"), F.struct("size", (-F.col("rank")).alias("r"), "draw", "nth"))
-    fill = left.where(F.col("size") <= F.col("gap")).groupBy("source").agg(best.alias("b"))
-    fill = fill.select(F.col("source").alias("s2"), F.col("b.bucket").alias("b2"), F.col("b.nth").alias("n2"), F.lit(1).alias("filled"))
-    on = F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")) & (F.col("nth") == F.col("n2"))
-    r = r.join(fill, on, "left")
-    copies = F.col("whole") + F.when(F.col("drawn") | (F.col("filled") == 1), 1).otherwise(0)
+    spread = F.when(F.col("p") > 0, F.floor(F.col("rank") * buckets)).otherwise(F.pmod("draw", F.lit(buckets)))
+    r = r.withColumn("bucket", F.least(spread, F.lit(buckets - 1)).cast("int"))
+    sure = r.groupBy("source").agg(F.sum(F.col("size") * F.col("whole")).alias("sure")).withColumnRenamed("source", "s2")
+    r = r.join(sure, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    r = cut(r.withColumn("room", F.col("target") - F.col("sure")).withColumn("drawn", F.lit(False)))
+    for _ in range(rounds):
+        r = cut(_draw(r))
+    copies = F.col("whole") + F.when(F.col("drawn"), 1).otherwise(0)
     return r.select(
         F.col("key").alias(key),
         "size",

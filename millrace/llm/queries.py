@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 from millrace.llm.mixing import mix_sources
 from millrace.llm.ngram_join import ngram_jaccard_join
+from millrace.llm.repeats import drop_repeats
 from millrace.llm.sharding import assign_shards
 from millrace.llm.tokencount import count_tokens
 from millrace.llm.urlfilter import filter_urls, url_host
@@ -37,6 +38,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeats(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The pages carry no fetch time and come with no list, so both are derived from them: a page is
 #: fetched page_id * 7919 s into a year, wrapped; a fetch that meets symbol noise puts the page's host
 #: on the list one day later, and every page_id divisible by 5 without noise takes it off.
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
