@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.llm.decontaminate import decontaminate
+from millrace.llm.langid import identify_language
 from millrace.llm.mixing import mix_sources
 from millrace.llm.ngram_join import ngram_jaccard_join
+from millrace.llm.pu import classify_quality
+from millrace.llm.quality_rules import apply_rules, fit_rules
 from millrace.llm.repeats import drop_repeats
 from millrace.llm.sharding import assign_shards
 from millrace.llm.tokencount import count_tokens
@@ -23,6 +26,17 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(modulus: int, remainder: int):
+    """Whether a document is kept from learning: crc32 of its id as text, by remainder."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(remainder)) % modulus == remainder
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = classify_quality(docs, labels.where(~held_out(5, 0)), threshold=0.3)
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -67,11 +81,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return apply_rules(docs, fit_rules(docs, labels)).drop("score")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeats(table(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = identify_language(docs, tokenizer_path("piece_bpe_32k.model"), learn_from=~held_out(3, 1))
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 #: The pages carry no fetch time and come with no list, so both are derived from them: a page is
 #: fetched page_id * 7919 s into a year, wrapped; a fetch that meets symbol noise puts the page's host
 #: on the list one day later, and every page_id divisible by 5 without noise takes it off.
@@ -112,12 +137,15 @@ FROM p LEFT JOIN hit ON p.page_id = hit.page_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }
 
