@@ -1,5 +1,82 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""Corpus pipeline: five stages from raw documents to shards.
+
+Every stage works on all rows that its predecessor kept and is called as (spark, docs, sf_dir).  All but
+the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.common import checked_broadcast, cut, table
+from millrace.llm.decontaminate import decontaminate
+from millrace.llm.mixing import mix_sources
+from millrace.llm.ngram_join import ngram_jaccard_join
+from millrace.llm.quality_rules import fit_rules, keep_passing
+from millrace.llm.sharding import assign_shards
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``keys``."""
+    return docs.join(checked_broadcast(cut(keys.select("doc_id").distinct()), 16), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the fixed rules, or the trees fitted on the labels, go."""
+    return keep_passing(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Five-word shingles, similarity 0.8.  Of rows that share a doc_id one stays; rows without one cannot
+    be named and stay.
+    """
+    groups = cut(ngram_jaccard_join(docs, n=5, percent=80).select("doc_id", "component_id"))
+    kept = _without(docs, groups.where("doc_id <> component_id"))
+    again = cut(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    one = kept.join(checked_broadcast(again, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return _without(kept, again).union(one)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of ten words of a benchmark item go."""
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents leave as often as the mix takes them: not at all, once or twice."""
+    copies = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    copies = copies.select(F.col("doc_id").alias("taken_id"), "copies")
+    taken = docs.join(checked_broadcast(cut(copies), 24), F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row of the mix gets its shard and its place there."""
+    return assign_shards(docs, shards=8)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: The trees of the first stage cannot be written in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over ``documents``; what each keeps is written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
+    return docs

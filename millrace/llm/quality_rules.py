@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import boosting
 from millrace.llm.common import checked_broadcast, cut
-from millrace.llm.docstats import COUNTS, FEATURES, scored_statistics
+from millrace.llm.docstats import COUNTS, FEATURES, scored_statistics, statistics
+from millrace.llm.wordhash import slices
 
 #: Labelled documents that the trees are fitted on, at most; those with the smallest key hashes.
 TRAIN_ROWS = 20_000
@@ -50,3 +54,21 @@ def apply_rules(docs: DataFrame, trees: boosting.Trees | None, key: str = "doc_i
     out = scored_statistics(docs, key, text, score)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     return out.select(key, *COUNTS, "score", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"))
+
+
+def keep_passing(docs: DataFrame, trees: boosting.Trees | None, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``apply_rules`` keeps.  Rows are judged where they are read;
+    nothing is shuffled or joined."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in slices(batch.column(place)):
+                counts, features = statistics(part)
+                n_words, n_repeat = counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")]
+                keep = (n_words >= MIN_WORDS) & (n_repeat * 100 <= n_words * MAX_REPEAT_PERCENT)
+                if trees is not None:
+                    keep &= trees.probability(features) >= threshold
+                yield batch.slice(first, len(part)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
