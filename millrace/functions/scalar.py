@@ -129,10 +129,7 @@ def modulo(a: Column, b: Column) -> Column:
 
 def int_divide(a: Column, b: Column) -> Column:
     """Both sides cut to whole numbers first; NULL for divisor 0."""
-    whole = b.cast("long")
-    n = a.cast("long")
-    # exact, unlike dividing as doubles; the remainder carries the sign of the dividend
-    return F.when(whole != 0, ((n - F.try_mod(n, whole)) / F.nullif(whole, F.lit(0).cast("long"))).cast("long"))
+    return F.call_function("div", a.cast("long"), F.nullif(b.cast("long"), F.lit(0).cast("long")))
 
 
 def negate(a: Column) -> Column:

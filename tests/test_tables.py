@@ -1,0 +1,78 @@
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.sources import tables as t
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    s = t.Store(spark, str(tmp_path / "store"))
+    s.create_database("shop")
+    s.use("shop")
+    columns = [{"name": "id", "type": "bigint", "nullable": False}, {"name": "name", "type": "string"}, {"name": "qty", "type": "int", "default": 5}]
+    s.create_table("items", columns, [["id"]], auto="id")
+    return s
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def new(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "name string")
+
+
+def code(call, *args, **kwargs):
+    with pytest.raises(t.TableError) as e:
+        call(*args, **kwargs)
+    return e.value.code
+
+
+def test_rows(spark, store):
+    assert store.insert("items", new(spark, "a", "b")) == 2
+    assert {r[1:] for r in rows(store.table("items"))} == {("a", 5), ("b", 5)}
+    assert {r[0] for r in rows(store.table("items"))} == {1, 2}
+    assert store.update("items", {"qty": F.col("qty") + 1}, F.col("name") == "a") == 1
+    assert store.delete("items", F.col("qty") == 5) == 1
+    assert [r[1:] for r in rows(store.table("items"))] == [("a", 6)]
+    double = spark.createDataFrame([(rows(store.table("items"))[0][0], "z")], "id bigint, name string")
+    assert code(store.insert, "items", double) == t.DUP_ENTRY
+    store.truncate("items")
+    assert rows(store.table("items")) == []
+
+
+def test_schema(spark, store):
+    store.insert("items", new(spark, "a"))
+    store.add_column("items", {"name": "note", "type": "string"}, after="id")
+    assert store.table("items").columns == ["id", "note", "name", "qty"]
+    store.drop_column("items", "qty")
+    assert rows(store.table("items")) == [(1, None, "a")]
+    assert [r.Key for r in store.describe("items").collect()] == ["PRI", "", ""]
+    assert rows(store.show_tables()) == [("items",)]
+    assert store.analyze("items").count() == 3
+
+
+def test_errors(spark, store):
+    assert code(store.create_database, "SHOP") == t.DB_EXISTS
+    assert code(store.use, "nowhere") == t.BAD_DB
+    assert code(store.create_table, "Items", []) == t.TABLE_EXISTS
+    assert code(store.table, "none") == t.NO_TABLE
+    assert code(store.drop_column, "items", "none") == t.BAD_FIELD
+    assert code(store.commit) == t.NO_TXN
+    store.begin()
+    assert code(store.create_database, "x") == t.TXN_IN_DDL
+
+
+def test_transactions(spark, store):
+    store.begin()
+    store.insert("items", new(spark, "a"))
+    assert store.table("items").count() == 1
+    store.rollback()
+    assert store.table("items").count() == 0
+    other = t.Store(spark, store.root)
+    other.use("shop")
+    store.begin()
+    store.insert("items", new(spark, "mine"))
+    other.insert("items", new(spark, "theirs"))
+    assert code(store.commit) == t.CONFLICT
+    assert [r[1] for r in rows(store.table("items"))] == ["theirs"]
