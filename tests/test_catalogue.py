@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF, same_rows
+from helpers import SF, same_rows
 
 import __spark_entry__ as driver
 from millrace.plans import catalogue
