@@ -61,6 +61,17 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _again(high: np.ndarray, low: np.ndarray, id_: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, again): fingerprints in order with their places, and which of them repeat an earlier place.
+    The same place may come more than once, from rows that share a key."""
+    order = np.lexsort((at, id_, low, high))
+    high, low, id_, at = high[order], low[order], id_[order], at[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order, (id_ != id_[first]) | (at != at[first])
+
+
 _ENTRIES = "bucket int, sure boolean, high array<long>, low array<long>, id array<long>, at array<long>"
 _NAMES = ["bucket", "sure", "high", "low", "id", "at"]
 
@@ -130,10 +141,7 @@ def _later(table: pa.Table) -> pa.Table:
     sure = table.filter(table["sure"])
     rest = table.filter(pc.invert(table["sure"]))
     high, low, id_, at = (_flat(rest[c]) for c in ("high", "low", "id", "at"))
-    order = np.lexsort((at, id_, low, high))
-    high, low = high[order], low[order]
-    again = np.zeros(len(order), bool)
-    again[1:] = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
+    order, again = _again(high, low, id_, at)
     hit = order[again]
     return pa.table({"id": np.concatenate([_flat(sure["id"]), id_[hit]]), "at": np.concatenate([_flat(sure["at"]), at[hit]])})
 
@@ -159,11 +167,8 @@ def _windows(window: int, buckets: int):
                 high, low = window_hash(w.hash, window, 1)[place], window_hash(mix(w.hash), window, 2)[place]
                 doc = w.doc[place]
                 key, at = id_[doc], place - w.first[doc]
-                order = np.lexsort((at, key, low, high))
-                high, low, key, at = high[order], low[order], key[order], at[order]
-                again = np.zeros(len(order), bool)
-                again[1:] = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
-                yield from _send(again, high, low, key, at, buckets)
+                order, again = _again(high, low, key, at)
+                yield from _send(again, high[order], low[order], key[order], at[order], buckets)
 
     return run
 
