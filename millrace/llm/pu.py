@@ -128,14 +128,16 @@ def classify_quality(
     label: str = "quality",
     prior: float | None = None,
     passes: int = 24,
-    l2: float = 1e-4,
+    l2: float = 1e-3,
+    caution: float = 0.04,
     threshold: float = 0.5,
 ) -> DataFrame:
     """(key, score, predicted) for every row of ``docs``.
 
     Trusted positives are the documents that ``labels`` marks 1; all documents are the unlabelled texts.
     Without ``prior`` the share of positives is estimated as that among the rows of ``labels``, taken to
-    be labelled at random.  Every document counts in every pass of the fit; only sums, one per
+    be labelled at random, less ``caution``: too large a prior lifts the scores of bad texts a good deal,
+    one that is a little too small hardly lowers those of good ones.  Every document counts in every pass of the fit; only sums, one per
     parameter, reach the driver.
 
     ``score`` (0 to 1) estimates the probability of label 1, ``predicted`` is 1 from ``threshold`` on.
@@ -149,7 +151,7 @@ def classify_quality(
     rows = cut(stats.join(known, "key", "left").select("key", "features", (F.coalesce("label", F.lit(0)) == 1).alias("positive"), F.col("label").isNotNull().alias("labelled")))
     n_labelled, n_positive = rows.agg(F.coalesce(F.sum(F.col("labelled").cast("int")), F.lit(0)), F.coalesce(F.sum(F.col("positive").cast("int")), F.lit(0))).first()
     if n_positive:
-        share = prior if prior is not None else min(max(n_positive / n_labelled, 0.02), 0.98)
+        share = prior if prior is not None else min(max(n_positive / n_labelled - caution, 0.02), 0.98)
         score = fit(rows, share, passes, l2)
     else:
         flat = 0.5 if prior is None else prior
