@@ -52,36 +52,46 @@ def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(docs[key].cast("long"), F.lit(_NULL_KEY)).alias("id"), F.coalesce(F.xxhash64(docs[text]), F.lit(0)).alias("h"), docs[text].alias("text"))
 
 
+def _term(word: Column) -> Column:
+    """A word in the index; words that share a number are told apart when matches are checked."""
+    return F.xxhash64(word)
+
+
 def rare_terms(rows: DataFrame, windows: DataFrame, rarest: int) -> DataFrame:
-    """(window, term, offset, n_terms): the ``rarest`` positions of each window whose words are found
-    least often in ``rows``; words that occur nowhere end the matter for their window, so they come first."""
-    placed = windows.select("window", F.posexplode("terms").alias("offset", "term"))
-    placed = placed.withColumn("term", F.lower("term"))
-    vocabulary = cut(placed.select("term").distinct())
-    small = checked_broadcast(vocabulary, 64)
-    counts = rows.select(F.explode(folded_words(F.col("text"))).alias("term")).join(small, "term", "left_semi").groupBy("term").count()
-    placed = placed.join(counts, "term", "left").fillna(0, ["count"])
-    order = Window.partitionBy("window").orderBy("count", "term", "offset")
+    """(window, nth, term, offset, n_terms): the ``rarest`` positions of each window whose words are found
+    least often in ``rows``, rarest first."""
+    placed = windows.select("window", F.posexplode("terms").alias("offset", "word")).select("window", "offset", F.lower("word").alias("word"))
+    vocabulary = cut(placed.select("word").distinct())
+    found = rows.select(F.explode(folded_words(F.col("text"))).alias("word")).join(checked_broadcast(vocabulary, 64), "word", "left_semi")
+    placed = placed.join(found.groupBy("word").count(), "word", "left").fillna(0, ["count"])
+    order = Window.partitionBy("window").orderBy("count", "word", "offset")
     picked = placed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rarest)
-    return picked.withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy("window"))).select("window", "term", "offset", "n_terms", "nth")
+    n_terms = F.count(F.lit(1)).over(Window.partitionBy("window"))
+    return picked.select("window", "nth", "word", _term(F.col("word")).alias("term"), "offset", n_terms.alias("n_terms"))
 
 
-def positional_index(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, id, h, pos): every position (from 0) of every word of ``terms`` (term) in ``rows``."""
-    words = rows.select("id", "h", F.posexplode(folded_words(F.col("text"))).alias("pos", "term"))
-    return words.join(checked_broadcast(cut(terms.select("term").distinct()), 64), "term")
+def positional_index(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(term, id, h, pos): every position (from 0) of every word of ``words`` (word) in ``rows``."""
+    placed = rows.select("id", "h", F.posexplode(folded_words(F.col("text"))).alias("pos", "word"))
+    kept = placed.join(checked_broadcast(cut(words.select("word").distinct()), 64), "word", "left_semi")
+    return kept.select(_term(F.col("word")).alias("term"), "id", "h", "pos")
 
 
-def exact_matches(rows: DataFrame, index: DataFrame, anchors: DataFrame, windows: DataFrame) -> DataFrame:
+def exact_matches(rows: DataFrame, index: DataFrame, anchors: DataFrame, windows: DataFrame, rarest: int) -> DataFrame:
     """(id, h, window, start, length) of every occurrence of a window in ``rows``.
 
-    Each posting votes for the place where the window would start; where all chosen words of a window
-    agree, its words are compared one by one.
+    The postings of a window's rarest word, shifted by its offset, are the places where it may start.
+    They are intersected with the shifted postings of its next rarest words, one after the other; what
+    is left is compared word by word.
     """
-    votes = index.join(checked_broadcast(anchors, 128), "term")
-    votes = votes.select(*_ID, "window", (F.col("pos") - F.col("offset")).alias("start"), "n_terms").where("start >= 0")
-    agreed = votes.groupBy(*_ID, "window", "start").agg(F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms")).where("n = n_terms")
-    found = cut(agreed.select(*_ID, "window", "start").join(windows, "window"))
+    first = checked_broadcast(anchors.where("nth = 1").select("window", "term", "offset", "n_terms"), 64)
+    places = index.join(first, "term").select(*_ID, "window", (F.col("pos") - F.col("offset")).alias("start"), "n_terms").where("start >= 0")
+    for nth in range(2, rarest + 1):
+        further = checked_broadcast(anchors.where(F.col("nth") == nth).select("window", "term", "offset"), 64)
+        asked = places.join(further, "window").withColumn("pos", F.col("start") + F.col("offset"))
+        agreed = asked.join(index, [*_ID, "term", "pos"], "left_semi")
+        places = agreed.select(places.columns).union(places.where(F.col("n_terms") < nth))
+    found = cut(places.select(*_ID, "window", "start").distinct().join(windows, "window"))
     texts = rows.join(checked_broadcast(cut(found.select(*_ID).distinct()), 24), _ID, "left_semi").select(*_ID, plain_words(F.col("text")).alias("words"))
     same = F.slice("words", F.col("start") + 1, F.size("terms")) == F.col("terms")
     return texts.dropDuplicates(_ID).join(found, _ID).where(same).select(*_ID, "window", "start", F.size("terms").alias("length"))
@@ -103,7 +113,7 @@ def near_matches(index: DataFrame, anchors: DataFrame, within: int = 20) -> Data
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, rarest: int = 3
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, rarest: int = 2
 ) -> DataFrame:
     """(key, n_words, n_hit, n_items, items, contaminated) for every row of ``docs``; ``key`` is an integer.
 
@@ -124,7 +134,7 @@ def decontaminate(
     windows, items = cut(windows), cut(items)
     anchors = cut(rare_terms(rows, windows, rarest))
     index = cut(positional_index(rows, anchors))
-    hits = cut(exact_matches(rows, index, anchors, windows))
+    hits = cut(exact_matches(rows, index, anchors, windows, rarest))
     covered = hits.select(*_ID, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
     covered = covered.groupBy(*_ID).agg(F.count(F.lit(1)).alias("n_hit"))
     named = hits.select(*_ID, "window").distinct().join(items, "window").select(*_ID, "item").distinct()
