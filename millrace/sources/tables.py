@@ -278,6 +278,35 @@ class Store:
             rows.append((c["name"], c["type"], null, mark, default, "auto_increment" if entry["auto"] == c["name"] else ""))
         return self.spark.createDataFrame(rows, "Field string, Type string, `Null` string, Key string, Default string, Extra string")
 
+    def show_create(self, table: str) -> DataFrame:
+        """Table, Create Table: a statement that makes the same schema."""
+        entry = self._entry(self._now(), table)
+        parts = []
+        for c in entry["columns"]:
+            words = [f"`{c['name']}` {c['type']}"]
+            if c.get("nullable", True) is False:
+                words.append("NOT NULL")
+            if c.get("default") is not None:
+                words.append(f"DEFAULT '{c['default']}'")
+            if entry["auto"] == c["name"]:
+                words.append("AUTO_INCREMENT")
+            parts.append(" ".join(words))
+        for i, key in enumerate(entry["keys"]):
+            names = ", ".join(f"`{k}`" for k in key)
+            parts.append(f"UNIQUE KEY ({names})" if i else f"PRIMARY KEY ({names})")
+        body = ",\n  ".join(parts)
+        return self.spark.createDataFrame([(table, f"CREATE TABLE `{table}` (\n  {body}\n)")], "`Table` string, `Create Table` string")
+
+    def show_nothing(self, kind: str) -> DataFrame:
+        """SHOW VARIABLES, STATUS and WARNINGS: always empty."""
+        columns = {"variables": "Variable_name string, Value string", "status": "Variable_name string, Value string", "warnings": "Level string, Code int, Message string"}
+        return self.spark.createDataFrame([], columns[kind])
+
+    def explain(self, df: DataFrame) -> DataFrame:
+        """EXPLAIN: the physical plan as one row."""
+        plan = df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return self.spark.createDataFrame([(plan,)], "EXPLAIN string")
+
     def analyze(self, table: str) -> DataFrame:
         """Column statistics, kept with the table."""
         stats = statistics.column_statistics(self.table(table))

@@ -50,6 +50,10 @@ def test_schema(spark, store):
     assert [r.Key for r in store.describe("items").collect()] == ["PRI", "", ""]
     assert rows(store.show_tables()) == [("items",)]
     assert store.analyze("items").count() == 3
+    made = store.show_create("items").first()[1]
+    assert "`id` bigint NOT NULL AUTO_INCREMENT" in made and "PRIMARY KEY (`id`)" in made
+    assert store.show_nothing("warnings").columns == ["Level", "Code", "Message"]
+    assert "Scan parquet" in store.explain(store.table("items")).first()[0]
 
 
 def test_errors(spark, store):
