@@ -29,6 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fewer(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """``df``, which has ``rows`` rows, in no more partitions than one per ``per_task`` rows: small tables
+    that go through many rounds leave few files behind; large ones keep their partitions."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
+def small_cut(df: DataFrame, per_task: int = 50_000) -> DataFrame:
+    """``cut``, then ``fewer`` by the counted rows."""
+    df = cut(df)
+    return fewer(df, df.count(), per_task)
+
+
 def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` (already cut) with a broadcast hint if its counted size is within ``limit``; else unchanged,
     so that the join shuffles."""

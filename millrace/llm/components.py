@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, fewer
 
 
-def _relink(edges: DataFrame, large: bool) -> DataFrame:
+def _relink(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Large star: each node links its larger neighbours to its smallest; small star: its smaller ones
     and itself.  The smallest neighbour comes from a pre-aggregated minimum, so a node with very many
     neighbours is never gathered in one place."""
@@ -17,12 +17,12 @@ def _relink(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    linked = near.join(least, "a")
+    linked = fewer(near.join(least, "a"), rows)
     if large:
         out = linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return fewer(out.where(F.col("a") != F.col("b")).distinct(), rows)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -31,14 +31,18 @@ def connected_components(links: DataFrame) -> DataFrame:
     Rounds go on until the links stop changing; their number grows with the logarithm of the longest
     path.  Null ends and self links are left out; no links give an empty result.
     """
+
     def digest(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     edges = cut(links.select("a", "b").where("a <> b").distinct())
     seen = digest(edges)
+    edges = fewer(edges, seen[0])
     while seen[0]:
-        edges = cut(_relink(_relink(edges, True), False))
+        rows = 2 * seen[0]
+        edges = cut(_relink(_relink(edges, True, rows), False, rows))
         now = digest(edges)
+        edges = fewer(edges, now[0])
         if now == seen:
             break
         seen = now

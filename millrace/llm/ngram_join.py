@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checked_broadcast, cut
+from millrace.llm.common import checked_broadcast, cut, small_cut
 from millrace.llm.components import connected_components
 from millrace.llm.wordhash import mix, slices, window_hash, window_starts, words
 
@@ -31,6 +31,12 @@ from millrace.llm.wordhash import mix, slices, window_hash, window_starts, words
 #: 1 MB of hashes, the only data sent to every task.
 FREQUENT_DF = 32
 FREQUENT_MAX = 1 << 17
+#: Salts of the members drawn from open groups.
+DRAWS = tuple(range(16))
+#: One in so many signatures is compared pair by pair first: pairs that link share many of them.
+SPARSE = 4
+#: Longs of the bitmaps that are compared inside the join of open groups.
+FOLD = 8
 _SIZE_STEP = 1.0125
 _HASH_BITS = 50
 
@@ -79,6 +85,15 @@ def bitmaps(token: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
 
 
+def folded(token: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """Parity bitmaps of 64 * ``FOLD`` bits whatever the size, as longs."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = owner * (64 * FOLD) + (mix(token) % np.uint64(64 * FOLD)).astype(np.int64)
+    bits = (np.bincount(place, minlength=(len(at) - 1) * 64 * FOLD) & 1).astype(np.uint8)
+    longs = np.packbits(bits, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(np.arange(0, len(longs) + 1, FOLD, dtype=np.int32), pa.array(longs))
+
+
 def most_common(a: bytes, b: bytes, size_a: int, size_b: int) -> int:
     """Upper bound of the overlap of two sets by their bitmaps; the longer one is folded."""
     if len(a) < len(b):
@@ -134,12 +149,13 @@ def _describe(kind: str, n: int, percent: int):
                         pa.array(high.view(np.int64)),
                         pa.array(_node(size, low)),
                         pa.array(bitmaps(token, at), pa.binary()),
+                        folded(token, at),
                         pa.ListArray.from_arrays(at32, pa.array(token[short].view(np.int64))),
                     ],
-                    ["id", "size", "low", "high", "node", "bitmap", "prefix"],
+                    ["id", "size", "low", "high", "node", "bitmap", "fold", "prefix"],
                 )
 
-    return run, f"id {kind}, size long, low long, high long, node long, bitmap binary, prefix array<long>"
+    return run, f"id {kind}, size long, low long, high long, node long, bitmap binary, fold array<long>, prefix array<long>"
 
 
 def _signatures(n: int, percent: int, frequent: np.ndarray):
@@ -219,6 +235,31 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("of_a <> of_b")
 
 
+def _likely_pairs(open_: DataFrame, salts: tuple[int, ...], percent: int) -> DataFrame:
+    """(x, y): members of a signature in different components that sizes and bitmaps allow to link.
+
+    With ``salts``, members are compared with one drawn member a salt; without, with each other, but for
+    those that were compared with all before.
+    """
+    columns = [c for c in open_.columns if c not in ("sig", "done")]
+    if salts:
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(s)), *columns)) for s in salts]
+        right = open_.groupBy("sig").agg(F.array_distinct(F.array(*drawn)).alias("drawn")).select("sig", F.explode("drawn").alias("y"))
+        right = right.select("sig", *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns])
+        left = open_
+    else:
+        left = open_.where(~F.col("done"))
+        right = left.select("sig", *[F.col(c).alias(f"y_{c}") for c in columns])
+    left = left.select("sig", *[F.col(c).alias(f"x_{c}") for c in columns])
+    differ = sum((F.bit_count(F.col(f"x_f{i}").bitwiseXOR(F.col(f"y_f{i}"))) for i in range(1, FOLD)), F.bit_count(F.col("x_f0").bitwiseXOR(F.col("y_f0"))))
+    total = F.col("x_size") + F.col("y_size")
+    likely = (total - differ) * (100 + percent) >= total * (2 * percent)
+    near_size = F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent
+    once = F.lit(True) if salts else F.col("x_node") < F.col("y_node")
+    met = left.join(right, "sig").where(once & (F.col("x_of") != F.col("y_of")) & near_size & likely)
+    return met.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
+
+
 def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) for every row of ``docs``.
 
@@ -247,10 +288,10 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     sigs = rows.select("text").mapInArrow(_signatures(n, percent, frequent), "sig long, node long")
     ends = sigs.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
-    members = cut(sigs.join(ends, "sig").distinct())
+    members = small_cut(sigs.join(ends, "sig").distinct())
 
-    classes = base.where("size > 0").groupBy("low", "high").agg(F.min("id").alias("rep"), F.min("size").alias("size"), F.min("node").alias("node"), F.first("bitmap").alias("bitmap"))
-    classes = cut(classes)
+    classes = base.where("size > 0").groupBy("low", "high").agg(F.min("id").alias("rep"), F.min("size").alias("size"), F.min("node").alias("node"), F.first("bitmap").alias("bitmap"), F.first("fold").alias("fold"))
+    classes = small_cut(classes)
     apart = int(np.ceil(np.log(100 / percent) / np.log(_SIZE_STEP))) + 1
     near = F.abs(F.shiftright("x", _HASH_BITS) - F.shiftright("y", _HASH_BITS)) <= apart
 
@@ -263,32 +304,37 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return p.mapInArrow(_plausible(percent), f"a {kind}, low_a long, size_a long, b {kind}, low_b long, size_b long")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        used = cut(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")))
+        used = small_cut(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")))
         found = rows.join(checked_broadcast(used, 24), "id", "left_semi").mapInArrow(*_sets(kind, n))
-        return cut(found.dropDuplicates(["id", "low"]))
+        return small_cut(found.dropDuplicates(["id", "low"]), 5_000)
 
     star = members.select(F.col("node").alias("x"), F.col("first").alias("y")).union(members.select(F.col("node").alias("x"), F.col("last").alias("y")))
-    pairs = cut(candidates(star))
+    pairs = small_cut(candidates(star))
     sets = sets_of(pairs)
     # one pair of each class first: most others then lie inside a component
     one = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = cut(_verified(pairs.join(one, ["a", "b"]), sets, percent))
+    links = small_cut(_verified(pairs.join(one, ["a", "b"]), sets, percent))
     labels = connected_components(links)
     rest = _across(pairs, labels).join(one, ["a", "b"], "left_anti")
-    links = cut(links.union(_verified(rest, sets, percent)))
-    labels = cut(connected_components(links))
-
-    # signatures whose members are still in different components, compared pair by pair
-    named = classes.select("node", F.col("rep").alias("rep")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("node", F.coalesce("component", "rep").alias("of"))
-    open_ = members.where("n > 3 AND node <> first AND node <> last").join(named, "node")
-    mixed = open_.groupBy("sig").agg(F.min("of").alias("low_of"), F.max("of").alias("high_of")).where("low_of <> high_of").select("sig")
-    open_ = cut(open_.join(mixed, "sig").select("sig", "node", "of"))
-    x, y = open_.selectExpr("sig", "node as x", "of as of_x"), open_.selectExpr("sig", "node as y", "of as of_y")
-    more = x.join(y, "sig").where((F.col("x") < F.col("y")) & (F.col("of_x") != F.col("of_y")) & near)
-    pairs2 = cut(candidates(more))
-    links = links.union(_verified(pairs2, sets_of(pairs2), percent))
-    labels = connected_components(links)
+    links = small_cut(links.union(_verified(rest, sets, percent)))
+    labels = small_cut(connected_components(links))
+
+    # Signatures whose members are still in different components: their members are compared with a few
+    # drawn ones, then pair by pair, in one of ``SPARSE`` signatures first and at last in all that are
+    # still open.  Each step joins up most of what the next one would have found many times over.  The
+    # bound of the overlap by folded bitmaps is part of the join's condition, so only likely links come
+    # out of it.
+    facts = classes.select("node", "rep", "size", *[F.col("fold")[i].alias(f"f{i}") for i in range(FOLD)])
+    members = members.where("n > 3").select("sig", "node", ((F.col("node") == F.col("first")) | (F.col("node") == F.col("last"))).alias("done"))
+    for salts, sparse in ((DRAWS, 1), ((), SPARSE), ((), 1)):
+        of = facts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("of", F.coalesce("component", "rep")).drop("rep", "component")
+        open_ = members.join(of, "node")
+        mixed = open_.groupBy("sig").agg(F.min("of").alias("low_of"), F.max("of").alias("high_of")).where("low_of <> high_of").select("sig")
+        open_ = small_cut(open_.join(mixed, "sig"))
+        asked = open_.where(F.pmod(F.xxhash64("sig"), F.lit(sparse)) == 0)
+        more = small_cut(candidates(_likely_pairs(asked, salts, percent)))
+        links = small_cut(links.union(_verified(more, sets_of(more), percent)))
+        labels = small_cut(connected_components(links))
 
     named = classes.select("low", "high", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("low", "high", F.coalesce("component", "rep").alias("component_id"))
