@@ -25,6 +25,8 @@ from millrace.llm.common import checked_broadcast, cut
 from millrace.llm.recompress import SCHEDULE, anchors, lay_out, levels
 from millrace.llm.wordhash import mix, slices, window_hash, window_starts, words
 
+#: Text whose names and fingerprints are combined before they are sent.
+COMBINE_BYTES = 4 << 20
 _NULL_KEY = -(1 << 63)
 _ALL = -1  # in place of a window's position: the whole document
 
@@ -97,7 +99,7 @@ def _segments(window: int, buckets: int, schedule: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in slices(batch.column(1)):
+            for first, part in slices(batch.column(1), COMBINE_BYTES):
                 id_ = batch.column(0).slice(first, len(part)).to_numpy(zero_copy_only=False)
                 w = words(part)
                 fits = window_starts(w.first, window)
@@ -151,7 +153,7 @@ def _windows(window: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in slices(batch.column(1)):
+            for first, part in slices(batch.column(1), COMBINE_BYTES):
                 id_ = batch.column(0).slice(first, len(part)).to_numpy(zero_copy_only=False)
                 asked = batch.column(2).slice(first, len(part))
                 w = words(part)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.llm.wordhash import buffers, slices, span_hash
 
 #: Bytes of text in a batch; one longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Pieces whose counts a Python worker remembers (12 bytes each).
 KNOWN_PIECES = 2_000_000
 
