@@ -1,10 +1,12 @@
 """Removal of repeated passages: every word that an earlier equal window covers goes.
 
-1. Documents with equal word sequences (equal top symbols) keep one copy, the smallest key.
+1. Documents with equal word sequences (equal top symbols) keep one copy, the one with the smallest key.
 2. Each text is recompressed.  Windows are cut into segments that share an anchor, a high-level symbol
    with its context; names found once cannot hold a repeat.
 3. Only windows at anchors found more than once get a full fingerprint, and of equal windows all but
-   the first, by (key, position), are repeats.
+   the first, by (key, hash of the text, position), are repeats.
+
+A document is named by its key, and where a key has several texts, also by a hash of the text.
 
 Names and fingerprints are combined inside a task before the shuffle: a task sends each at most once,
 however often it occurs there, so a passage found in a third of all documents stays spread out.  They
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checked_broadcast, cut
+from millrace.llm.common import BROADCAST_BYTES, checked_broadcast, cut
 from millrace.llm.recompress import SCHEDULE, anchors, lay_out, levels
 from millrace.llm.wordhash import mix, slices, window_hash, window_starts, words
 
@@ -42,6 +44,10 @@ def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarra
     return number, [_lists(c[order], at) for c in columns]
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _flat(column) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] or [np.zeros(0, np.int64)])
 
@@ -49,7 +55,7 @@ def _flat(column) -> np.ndarray:
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Name of the whole word sequence of each text."""
     for batch in batches:
-        for first, part in slices(batch.column(1)):
+        for first, part in slices(batch.column(2)):
             w = words(part)
             n = np.diff(w.first)
             nth = np.arange(len(w.hash)) - np.repeat(w.first[:-1], n)
@@ -59,26 +65,28 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.cumsum(mix(w.hash ^ mix(nth.astype(np.uint64) + np.uint64(salt))), out=total[1:])
                 sums.append((total[w.first[1:]] - total[w.first[:-1]]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(part)), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["id", "n_words", "high", "low"]
+                [batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+                ["id", "h", "n_words", "high", "low"],
             )
 
 
-def _again(high: np.ndarray, low: np.ndarray, id_: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _again(high: np.ndarray, low: np.ndarray, id_: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, again): fingerprints in order with their places, and which of them repeat an earlier place.
-    The same place may come more than once, from rows that share a key."""
-    order = np.lexsort((at, id_, low, high))
-    high, low, id_, at = high[order], low[order], id_[order], at[order]
+    The same place may come more than once, from rows that share a key and a text."""
+    order = np.lexsort((at, h, id_, low, high))
+    high, low, id_, h, at = high[order], low[order], id_[order], h[order], at[order]
     new = np.ones(len(order), bool)
     new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return order, (id_ != id_[first]) | (at != at[first])
+    return order, (id_ != id_[first]) | (h != h[first]) | (at != at[first])
 
 
-_ENTRIES = "bucket int, sure boolean, high array<long>, low array<long>, id array<long>, at array<long>"
-_NAMES = ["bucket", "sure", "high", "low", "id", "at"]
+_ENTRIES = "bucket int, sure boolean, high array<long>, low array<long>, id array<long>, h array<long>, at array<long>"
+_NAMES = ["bucket", "sure", "high", "low", "id", "h", "at"]
+_PLACES = "id long, h long, at long"
 
 
-def _send(sure: np.ndarray, high: np.ndarray, low: np.ndarray, id_: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _send(sure: np.ndarray, high: np.ndarray, low: np.ndarray, id_: np.ndarray, h: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Entries by hash bucket; sure ones, already decided, go along unhashed."""
     empty = np.zeros(0, np.int64)
     if sure.any():
@@ -86,11 +94,12 @@ def _send(sure: np.ndarray, high: np.ndarray, low: np.ndarray, id_: np.ndarray,
         none = np.array([0, 0])
         where = int(mix(np.array([id_[sure][0]]).astype(np.uint64))[0] % np.uint64(buckets))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([where], pa.int32()), pa.array([True]), _lists(empty, none), _lists(empty, none), _lists(id_[sure], one), _lists(at[sure], one)], _NAMES
+            [pa.array([where], pa.int32()), pa.array([True]), _lists(empty, none), _lists(empty, none), _lists(id_[sure], one), _lists(h[sure], one), _lists(at[sure], one)],
+            _NAMES,
         )
     if not sure.all():
         bucket = (high[~sure] % np.uint64(buckets)).astype(np.int32)
-        number, columns = _by_bucket(bucket, [high[~sure], low[~sure], id_[~sure], at[~sure]])
+        number, columns = _by_bucket(bucket, [high[~sure], low[~sure], id_[~sure], h[~sure], at[~sure]])
         yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.zeros(len(number), bool)), *columns], _NAMES)
 
 
@@ -99,8 +108,8 @@ def _segments(window: int, buckets: int, schedule: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in slices(batch.column(1), COMBINE_BYTES):
-                id_ = batch.column(0).slice(first, len(part)).to_numpy(zero_copy_only=False)
+            for first, part in slices(batch.column(2), COMBINE_BYTES):
+                id_, h = (_numbers(batch.column(c).slice(first, len(part))) for c in (0, 1))
                 w = words(part)
                 fits = window_starts(w.first, window)
                 if not fits.any():
@@ -118,10 +127,10 @@ def _segments(window: int, buckets: int, schedule: str):
                 _, one, back, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
                 many = count[back] > 1
                 where = (begin.astype(np.int64) << 16) | length
-                yield from _send(np.ones(int(many.sum()), bool), name[many], name[many], id_[doc][many], where[many], buckets)
+                yield from _send(np.ones(int(many.sum()), bool), name[many], name[many], id_[doc][many], h[doc][many], where[many], buckets)
                 # a name that is sure here is still to be met by other slices: its entry has no segment
                 open_ = np.zeros(len(one), bool)
-                yield from _send(open_, name[one], np.zeros(len(one), np.uint64), id_[doc][one], np.where(many, 0, where)[one], buckets)
+                yield from _send(open_, name[one], np.zeros(len(one), np.uint64), id_[doc][one], h[doc][one], np.where(many, 0, where)[one], buckets)
 
     return run
 
@@ -134,7 +143,7 @@ def _shared(table: pa.Table) -> pa.Table:
     _, back, count = np.unique(_flat(rest["high"]), return_inverse=True, return_counts=True)
     at = _flat(rest["at"])
     hit = (count[back] > 1) & (at > 0)
-    return pa.table({"id": np.concatenate([_flat(sure["id"]), _flat(rest["id"])[hit]]), "at": np.concatenate([_flat(sure["at"]), at[hit]])})
+    return pa.table({c: np.concatenate([_flat(sure[c]), _flat(rest[c])[hit]]) for c in ("id", "h", "at")})
 
 
 def _later(table: pa.Table) -> pa.Table:
@@ -142,10 +151,10 @@ def _later(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     sure = table.filter(table["sure"])
     rest = table.filter(pc.invert(table["sure"]))
-    high, low, id_, at = (_flat(rest[c]) for c in ("high", "low", "id", "at"))
-    order, again = _again(high, low, id_, at)
+    high, low, id_, h, at = (_flat(rest[c]) for c in ("high", "low", "id", "h", "at"))
+    order, again = _again(high, low, id_, h, at)
     hit = order[again]
-    return pa.table({"id": np.concatenate([_flat(sure["id"]), id_[hit]]), "at": np.concatenate([_flat(sure["at"]), at[hit]])})
+    return pa.table({c: np.concatenate([_flat(sure[c]), v[hit]]) for c, v in (("id", id_), ("h", h), ("at", at))})
 
 
 def _windows(window: int, buckets: int):
@@ -153,9 +162,9 @@ def _windows(window: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in slices(batch.column(1), COMBINE_BYTES):
-                id_ = batch.column(0).slice(first, len(part)).to_numpy(zero_copy_only=False)
-                asked = batch.column(2).slice(first, len(part))
+            for first, part in slices(batch.column(2), COMBINE_BYTES):
+                id_, h = (_numbers(batch.column(c).slice(first, len(part))) for c in (0, 1))
+                asked = batch.column(3).slice(first, len(part))
                 w = words(part)
                 at = asked.flatten().to_numpy(zero_copy_only=False)
                 doc = np.repeat(np.arange(len(part)), np.diff(asked.offsets.to_numpy()))
@@ -168,9 +177,9 @@ def _windows(window: int, buckets: int):
                     continue
                 high, low = window_hash(w.hash, window, 1)[place], window_hash(mix(w.hash), window, 2)[place]
                 doc = w.doc[place]
-                key, at = id_[doc], place - w.first[doc]
-                order, again = _again(high, low, key, at)
-                yield from _send(again, high[order], low[order], key[order], at[order], buckets)
+                key, h, at = id_[doc], h[doc], place - w.first[doc]
+                order, again = _again(high, low, key, h, at)
+                yield from _send(again, high[order], low[order], key[order], h[order], at[order], buckets)
 
     return run
 
@@ -213,6 +222,20 @@ def _kept(window: int):
     return run
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """(id, h, text) of (id, text): ``h`` is a hash of the text where an id has several, else 0, which is
+    cheap to send.  With more such ids than can be broadcast every row gets the hash."""
+    full = F.xxhash64("text")
+    several = cut(rows.groupBy("id").agg(F.min(full).alias("least"), F.max(full).alias("most")).where("least < most").select("id"))
+    n = several.count()
+    if not n:
+        return rows.select("id", F.lit(0).cast("long").alias("h"), "text")
+    if n * 16 > BROADCAST_BYTES:
+        return rows.select("id", full.alias("h"), "text")
+    marked = rows.join(F.broadcast(several.withColumn("shared", F.lit(True))), "id", "left")
+    return marked.select("id", F.when(F.col("shared"), full).otherwise(F.lit(0)).alias("h"), "text")
+
+
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, buckets: int | None = None, schedule: str = SCHEDULE) -> DataFrame:
     """(key, n_words, n_removed, kept) for every row of ``docs``; ``key`` is an integer column.
 
@@ -223,29 +246,32 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     ``buckets`` hash buckets share names and fingerprints out; unset, four per shuffle partition.
 
     Null texts have no words, and texts shorter than a window lose none; ``kept`` is then the text's
-    words, or ''.  Rows with equal keys are one document in the comparison.  A null key is smaller than
-    all others.  An empty table gives an empty result; other columns are not read.
+    words, or ''.  Rows with equal key and text are one document in the comparison; different texts under
+    one key, or under none, are documents of their own, in order of a hash of the text.  A null key is
+    smaller than all others.  An empty table gives an empty result; other columns are not read.
     """
     if not 2 <= window < 1 << 16:
         raise ValueError("window must be from 2 to 65535")
     session = docs.sparkSession
     buckets = buckets or 4 * int(session.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(_NULL_KEY)).alias("id"), docs[text].alias("text"))
+    rows = _told_apart(docs.select(F.coalesce(docs[key].cast("long"), F.lit(_NULL_KEY)).alias("id"), docs[text].alias("text")))
+    doc = ["id", "h"]
 
-    roots = cut(rows.mapInArrow(_roots, "id long, n_words long, high long, low long").where(F.col("n_words") >= window))
-    least = roots.groupBy("high", "low").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    copies = cut(roots.join(least, ["high", "low"]).where("id > least").select("id").distinct())
-    unique = rows.join(checked_broadcast(copies, 16), "id", "left_anti")
+    roots = cut(rows.mapInArrow(_roots, "id long, h long, n_words long, high long, low long").where(F.col("n_words") >= window))
+    place = F.struct(*doc)
+    least = roots.groupBy("high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most")
+    copies = cut(roots.join(least, ["high", "low"]).where(place > F.col("least")).select(*doc).distinct())
+    unique = rows.join(checked_broadcast(copies, 24), doc, "left_anti")
 
     entries = unique.mapInArrow(_segments(window, buckets, schedule), _ENTRIES)
-    hits = entries.groupBy("bucket").applyInArrow(_shared, "id long, at long")
-    asked = hits.groupBy("id").agg(F.collect_list("at").alias("at"))
-    suspects = rows.join(asked, "id", "left").where(F.col("at").isNotNull())
+    hits = entries.groupBy("bucket").applyInArrow(_shared, _PLACES)
+    asked = hits.groupBy(*doc).agg(F.collect_list("at").alias("at"))
+    suspects = rows.join(asked, doc, "left").where(F.col("at").isNotNull()).select(*doc, "text", "at")
     found = suspects.mapInArrow(_windows(window, buckets), _ENTRIES)
-    later = found.groupBy("bucket").applyInArrow(_later, "id long, at long")
-    gone = later.union(copies.select("id", F.lit(_ALL).cast("long").alias("at"))).groupBy("id").agg(F.collect_list("at").alias("at"))
+    later = found.groupBy("bucket").applyInArrow(_later, _PLACES)
+    gone = later.union(copies.select(*doc, F.lit(_ALL).cast("long").alias("at"))).groupBy(*doc).agg(F.collect_list("at").alias("at"))
 
-    judged = rows.join(gone, "id", "left").select("id", "text", F.coalesce("at", F.array().cast("array<long>")).alias("at"))
+    judged = rows.join(gone, doc, "left").select("id", "text", F.coalesce("at", F.array().cast("array<long>")).alias("at"))
     out = judged.mapInArrow(_kept(window), "id long, n_words long, n_removed long, kept string")
     back = F.when(F.col("id") != _NULL_KEY, F.col("id")).cast(docs.schema[key].dataType)
     return out.select(back.alias(key), "n_words", "n_removed", "kept")

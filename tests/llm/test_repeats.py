@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import recompress
 from millrace.llm.repeats import drop_repeats
@@ -31,6 +32,29 @@ def test_equals_brute_force(docs, small, window):
     assert got == brute_force([(i, t) for i, t, _ in small], window)
 
 
+@pytest.mark.parametrize("ids", [(None, None, None, None), (3, 3, 3, 3), (None, 3, None, 3), (5, 3, 3, 7)])
+def test_texts_that_share_an_id_are_told_apart(spark, ids):
+    """Under one id or none: a text with a shared passage, a short one, a copy of an earlier document, a unique one."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    first = " ".join(f"f{k}" for k in range(40)) + " " + passage
+    texts = [first, "a b c", passage + " " + " ".join(f"t{k}" for k in range(25)), " ".join(f"u{k}" for k in range(60))]
+    rows = [(1, first), *zip(ids, texts, strict=True), (ids[3], texts[3]), (9, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = df.distinct().orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    seen, out = set(), {}
+    for i, text in order:
+        w = text.split()
+        gone = set()
+        for k in range(len(w) - 4):
+            key = tuple(w[k : k + 5])
+            if key in seen:
+                gone |= set(range(k, k + 5))
+            seen.add(key)
+        out[i, text] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    got = sorted((tuple(r) for r in drop_repeats(df, window=5).collect()), key=str)
+    assert got == sorted(((i, *out[i, t]) for i, t in rows), key=str)
+
+
 def test_empty(nothing):
     assert drop_repeats(nothing).collect() == []
 
