@@ -1,12 +1,12 @@
 """Corpus pipeline: five stages from raw documents to shards.
 
 Every stage works on all rows that its predecessor kept and is called as (spark, docs, sf_dir).  All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``.  Stages decide by row, not by doc_id alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import checked_broadcast, cut, table
@@ -17,9 +17,18 @@ from millrace.llm.quality_rules import fit_rules, keep_passing
 from millrace.llm.sharding import assign_shards
 
 
+_ROW = "__row"
+
+
+def _named(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with a number for each row by its values in ``columns``, nulls included: equal rows share
+    it, rows that share a doc_id, or have none, are told apart."""
+    return docs.withColumn(_ROW, F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))]))
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not among ``keys``."""
-    return docs.join(checked_broadcast(cut(keys.select("doc_id").distinct()), 16), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, which are named, whose number is not among ``keys``."""
+    return docs.join(checked_broadcast(cut(keys.select(_ROW).distinct()), 16), _ROW, "left_anti").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,31 +37,48 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id.
+    """One document of each group of near copies stays: the one with the smallest doc_id, one without
+    doc_id only if no member has any, ties by a hash.
 
-    Five-word shingles, similarity 0.8.  Of rows that share a doc_id one stays; rows without one cannot
-    be named and stay.
+    Five-word shingles, similarity 0.8.  Of rows with equal doc_id (or none) and equal text one stays;
+    different texts under one doc_id, or under none, are documents of their own.
     """
-    groups = cut(ngram_jaccard_join(docs, n=5, percent=80).select("doc_id", "component_id"))
-    kept = _without(docs, groups.where("doc_id <> component_id"))
-    again = cut(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    named = _named(docs, "doc_id", "text")
+    groups = cut(ngram_jaccard_join(named, key=_ROW, n=5, percent=80).select(_ROW, "component_id"))
+    sizes = groups.groupBy(_ROW).agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    ids = named.select(_ROW, "doc_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _ROW)).getField(_ROW)
+    winners = sizes.join(ids, _ROW).groupBy("component_id").agg(best.alias(_ROW)).select(_ROW)
+    kept = _without(named, groups.join(winners, _ROW, "left_anti"))
+    again = cut(sizes.where("n > 1").select(_ROW))
     if again.isEmpty():
-        return kept
-    one = kept.join(checked_broadcast(again, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return _without(kept, again).union(one)
+        return kept.select(docs.columns)
+    one = kept.join(checked_broadcast(again, 16), _ROW, "left_semi").dropDuplicates([_ROW]).select(named.columns)
+    return _without(kept, again).union(one).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of ten words of a benchmark item go."""
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents that hold a window of ten words of a benchmark item go, those without doc_id too."""
+    named = _named(docs, "doc_id", "text")
+    return _without(named, decontaminate(named, table(spark, sf_dir, "benchmark"), key=_ROW).where("contaminated")).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents leave as often as the mix takes them: not at all, once or twice."""
-    copies = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    copies = copies.select(F.col("doc_id").alias("taken_id"), "copies")
-    taken = docs.join(checked_broadcast(cut(copies), 24), F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    """Documents leave as often as the mix takes them: not at all, once or twice.
+
+    Repeated rows (equal doc_id, text and source) are numbered where the mix takes some of them more often.
+    """
+    named = _named(docs, "doc_id", "text", "source")
+    drawn = mix_sources(named, key=_ROW).groupBy(_ROW).agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n"))
+    # copies of equal rows differ by one at most
+    drawn = cut(drawn.where("most > 0").select(_ROW, "least", "most", (F.col("all") - F.col("n") * F.col("least")).alias("more")))
+    taken = named.join(checked_broadcast(cut(drawn.where("least = most")), 32), _ROW).withColumn("times", F.col("least"))
+    split = cut(drawn.where("least < most"))
+    if not split.isEmpty():
+        some = named.join(checked_broadcast(split, 32), _ROW)
+        nth = F.row_number().over(Window.partitionBy(_ROW).orderBy(F.xxhash64(*docs.columns)))
+        taken = taken.union(some.withColumn("times", F.col("least") + (nth <= F.col("more")).cast("int")).where("times > 0"))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
