@@ -15,14 +15,28 @@ def url_host(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def _up_to(first: int, last: Column, key) -> Column:
+    """key(k) for k from ``first`` to ``last``, an empty array if there is none."""
+    return F.when(last >= first, F.transform(F.sequence(F.lit(first), last), key)).otherwise(F.array().cast("array<string>"))
+
+
 def url_keys(url: Column) -> Column:
-    """List keys under which a URL can be named: its host and the two parent domains above it that
-    still have a dot, and its host with the first path segment.  Empty for null or host-less URLs."""
+    """List keys under which a URL can be named: its host, every parent domain above it that still has a
+    dot, and its host with every prefix of the path that ends with a segment (without a slash behind it).
+    Empty for null or host-less URLs.  Their number is bounded by the URL's dots and slashes."""
     host = url_host(url)
-    parents = [F.when(F.size(F.split(host, r"\.")) > n + 1, F.regexp_replace(host, rf"^(?:[^.]+\.){{{n}}}", "")) for n in (1, 2)]
-    segment = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)", 1)
-    folder = F.when(segment != "", F.concat(host, segment))
-    return F.coalesce(F.array_distinct(F.array_compact(F.array(host, *parents, folder))), F.array().cast("array<string>"))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
+    named = F.struct(host.alias("host"), F.split(host, r"\.").alias("labels"), F.split(path, "/").alias("segments"))
+
+    def keys(u: Column) -> Column:
+        labels, segments = u["labels"], u["segments"]
+        parents = _up_to(2, F.size(labels) - 1, lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+        ends = _up_to(2, F.size(segments), lambda k: F.when(F.element_at(segments, k) != "", F.array_join(F.slice(segments, F.lit(1), k), "/")))
+        return F.concat(F.array(u["host"]), parents, F.transform(F.array_compact(ends), lambda end: F.concat(u["host"], end)))
+
+    # bound once, so that the URL is taken apart once and not for every key
+    found = F.element_at(F.transform(F.array(named), keys), 1)
+    return F.when(host.isNotNull(), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
 def _slot(at: Column, seconds: int) -> Column:

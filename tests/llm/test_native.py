@@ -167,3 +167,21 @@ def test_url_filter(spark):
     assert sum(w[3] for w in want) >= 8
     assert filter_urls(table.limit(0), listed).collect() == []
     assert not any(r.blocked for r in filter_urls(table, listed.limit(0)).collect())
+
+
+def own_keys(url):
+    rest = url.split("://", 1)[1].split("?")[0].split("#")[0]
+    host, *segments = rest.split("/")
+    host = host.split("@")[-1].split(":")[0].lower().rstrip(".")
+    labels = host.split(".")
+    keys = {host} | {".".join(labels[k:]) for k in range(len(labels) - 1)}
+    return keys | {host + "/" + "/".join(segments[: k + 1]) for k, x in enumerate(segments) if x}
+
+
+def test_url_keys_of_any_depth(spark):
+    urls = ["http://a.b.c.d.Example.com/x/y/z?q=/no", "https://u@host:1/a//b/#c/d", "http://one.two/", "http://single", "ftp://a.b.c/", "http://p.q?x/y", "http://h.i/" + "/".join(f"s{k}" for k in range(30))]
+    got = {r.u: list(r.k) for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", url_keys(F.col("u")).alias("k")).collect()}
+    assert {u: sorted(k) for u, k in got.items()} == {u: sorted(own_keys(u)) for u in urls}
+    listed = spark.createDataFrame([(k, moment(1), 1) for k in ("example.com", "h.i/s0/s1/s2", "com", "p.q/x")], "key string, at timestamp, listed int")
+    table = spark.createDataFrame([(u, moment(2)) for u in urls], "url string, fetched timestamp")
+    assert {r.url: r.rule for r in filter_urls(table, listed).collect() if r.blocked} == {urls[0]: "example.com", urls[-1]: "h.i/s0/s1/s2"}
