@@ -18,21 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut
-from millrace.llm.wordhash import _LOWER, slices, span_hash, words
+from millrace.llm.wordhash import _LOWER, BASE, INVERSE, mix, powers, slices, span_hash, words
 
-#: Pieces longer than this many bytes are not used; bytes of a word beyond WORD_BYTES start a new one.
-PIECE_BYTES, WORD_BYTES = 12, 48
+#: Up to so many bytes products of probabilities stay in the range of a double; longer words are summed
+#: in logarithms.
+SHORT_BYTES = 24
+#: Bytes of padded words in one lattice; a longer word is a lattice of its own.
+CELLS = 400_000
 #: Share of a uniform distribution over pieces in every language, so that nothing has probability 0.
 SMOOTH = 1e-4
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, id) of the pieces, sorted by hash.  Ids 0 to 255 are single bytes, so every word can be cut.
-
-    ``path`` is a tokenizers .json or a sentencepiece .model file.  Pieces are taken in lower case and
-    without their mark of a word's start or end.
-    """
+def _pieces(path: str) -> list[bytes]:
     if path.endswith(".model"):
         import sentencepiece
 
@@ -42,7 +40,17 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
         with open(path, encoding="utf-8") as f:
             listed = list(json.load(f)["model"]["vocab"])
     plain = {p.replace("▁", "").replace("</w>", "").replace("Ġ", "").lower().encode() for p in listed}
-    pieces = [bytes([b]) for b in range(256)] + sorted(p for p in plain if 1 < len(p) <= PIECE_BYTES)
+    return [bytes([b]) for b in range(256)] + sorted(p for p in plain if len(p) > 1)
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, id) of the pieces, sorted by hash.  Ids 0 to 255 are single bytes, so every word can be cut.
+
+    ``path`` is a tokenizers .json or a sentencepiece .model file.  Pieces are taken in lower case and
+    without their mark of a word's start or end.
+    """
+    pieces = _pieces(path)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     end = np.cumsum([len(p) for p in pieces])
     h = span_hash(data, end - np.array([len(p) for p in pieces]), end)
@@ -50,69 +58,113 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
     return h[order], order
 
 
+@lru_cache(maxsize=2)
+def _by_size(path: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(bytes, hash, id) of the vocabulary for each length of a piece."""
+    h, ids = vocabulary(path)
+    size = np.array([len(p) for p in _pieces(path)])[ids]
+    return [(int(n), h[size == n], ids[size == n]) for n in np.unique(size)]
+
+
 class Lattice:
-    """Distinct words as byte matrices with the vocabulary's pieces at every place."""
+    """Distinct words with the vocabulary's pieces at every place."""
 
     def __init__(self, texts: list[bytes], path: str):
-        h, ids = vocabulary(path)
-        self.n_pieces = len(ids)
-        self.length = np.array([len(t) for t in texts])
+        self.n_pieces = len(vocabulary(path)[1])
+        self.length = np.array([len(t) for t in texts], np.int64)
         self.width = int(self.length.max(initial=0))
-        data = np.frombuffer(b"".join(t.ljust(self.width, b"\0") for t in texts), np.uint8)
-        start = np.arange(len(texts))[:, None] * self.width
-        #: piece[k][i] = (words, ids) of pieces of k + 1 bytes that end behind byte i
-        self.piece: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for size in range(1, min(PIECE_BYTES, self.width) + 1):
-            at = {}
-            for end in range(size, self.width + 1):
-                rows = np.flatnonzero(self.length >= end)
-                if not len(rows):
-                    break
-                a = start[rows, 0] + end - size
-                found = span_hash_at(data, a, size)
-                k = np.minimum(np.searchsorted(h, found), len(h) - 1)
-                ok = h[k] == found
-                at[end] = (rows[ok], ids[k[ok]])
-            self.piece.append(at)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        first = np.cumsum(self.length) - self.length
+        row = np.repeat(np.arange(len(texts)), self.length)
+        left = (first + self.length)[row] - np.arange(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=total[1:])
+        back = powers(INVERSE, len(data) + 1)
+        #: (bytes, words, ids, from, to) of the pieces of a length, by the byte behind which they end
+        self.piece: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size, h, ids in _by_size(path):
+            at = np.flatnonzero(left >= size)
+            if not len(at):
+                break
+            found = mix((total[at + size] - total[at]) * back[at] + np.array([size], np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            k = np.minimum(np.searchsorted(h, found), len(h) - 1)
+            ok = h[k] == found
+            at, k = at[ok], k[ok]
+            end = at - first[row[at]] + size
+            order = np.argsort(end, kind="stable")
+            if len(order):
+                self.piece.append((size, row[at][order], ids[k][order], np.searchsorted(end[order], np.arange(self.width + 2))))
+
+    def _ending(self, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(bytes, words, ids) of the pieces that end behind byte ``end``."""
+        for size, rows, ids, bound in self.piece:
+            if size > end:
+                break
+            a, b = bound[end], bound[end + 1]
+            if a < b:
+                yield size, rows[a:b], ids[a:b]
+
+    @property
+    def short(self) -> bool:
+        return self.width <= SHORT_BYTES
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """alpha[i, word, language]: summed probability of all segmentations of the first i bytes, with
-        ``p`` (pieces, languages).  Words are short, so nothing underflows."""
-        alpha = np.zeros((self.width + 1, len(self.length), p.shape[1]))
-        alpha[0] = 1.0
+        ``p`` (pieces, languages); its logarithm if a word is not short."""
+        alpha = np.full((self.width + 1, len(self.length), p.shape[1]), 0.0 if self.short else -np.inf)
+        alpha[0] = 1.0 if self.short else 0.0
+        q = p if self.short else np.log(p)
         for end in range(1, self.width + 1):
-            for size, at in enumerate(self.piece[:end], 1):
-                if end in at:
-                    rows, ids = at[end]
-                    alpha[end, rows] += alpha[end - size, rows] * p[ids]
+            for size, rows, ids in self._ending(end):
+                if self.short:
+                    alpha[end, rows] += alpha[end - size, rows] * q[ids]
+                else:
+                    alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - size, rows] + q[ids])
         return alpha
 
     def word_log(self, p: np.ndarray) -> np.ndarray:
-        alpha = self.forward(p)
-        return np.log(alpha[self.length, np.arange(len(self.length))])
+        whole = self.forward(p)[self.length, np.arange(len(self.length))]
+        return np.log(whole) if self.short else whole
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """(pieces, languages): expected uses of each piece over words with ``weight`` (words, languages)."""
+        """(pieces, languages): expected uses of each piece over words with ``weight`` (words, languages).
+        A word says nothing about languages where its weight is 0."""
         alpha = self.forward(p)
-        n = len(self.length)
-        beta = np.zeros_like(alpha)
-        beta[self.length, np.arange(n)] = weight / alpha[self.length, np.arange(n)]
+        last = self.length, np.arange(len(self.length))
         uses = np.zeros((self.n_pieces, p.shape[1]))
+        some = weight > 0
+        if self.short:
+            beta = np.zeros_like(alpha)
+            beta[last] = np.divide(weight, alpha[last], out=np.zeros_like(alpha[last]), where=some)
+        else:
+            beta = np.full_like(alpha, -np.inf)
+            beta[last] = np.where(some, np.log(np.where(some, weight, 1.0)) - alpha[last], -np.inf)
+        q = p if self.short else np.log(p)
         for end in range(self.width, 0, -1):
-            for size, at in enumerate(self.piece[:end], 1):
-                if end in at:
-                    rows, ids = at[end]
-                    passed = beta[end, rows] * p[ids]
+            for size, rows, ids in self._ending(end):
+                if self.short:
+                    passed = beta[end, rows] * q[ids]
                     beta[end - size, rows] += passed
                     np.add.at(uses, ids, passed * alpha[end - size, rows])
+                else:
+                    passed = beta[end, rows] + q[ids]
+                    beta[end - size, rows] = np.logaddexp(beta[end - size, rows], passed)
+                    np.add.at(uses, ids, np.exp(passed + alpha[end - size, rows]))
         return uses
 
 
-def span_hash_at(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """``span_hash`` of spans of one short ``size``, computed byte by byte."""
-    spans = data[start[:, None] + np.arange(size)].ravel()
-    at = np.arange(len(start)) * size
-    return span_hash(spans, at, at + size)
+def lattices(texts: list[bytes], path: str) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """(numbers, lattice) of all words, those of about the same length together, short ones apart."""
+    length = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(length, kind="stable")
+    length = length[order]
+    a = 0
+    while a < len(order):
+        stop = int(np.searchsorted(length, SHORT_BYTES, "right")) if length[a] <= SHORT_BYTES else len(order)
+        fits = np.flatnonzero(length[a:stop] * np.arange(1, stop - a + 1) > CELLS)
+        b = a + max(1, int(fits[0])) if len(fits) else stop
+        yield order[a:b], Lattice([texts[i] for i in order[a:b]], path)
+        a = b
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -120,7 +172,7 @@ _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
 def letter_words(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(data, start, end, text) of lower-cased runs of letters, at most ``WORD_BYTES`` long each.
+    """(data, start, end, text) of lower-cased runs of letters, of any length.
 
     Letters are those of ASCII and all characters beyond it; A-Z are lower-cased, and so are the
     capitals of U+00C0 to U+00DE.
@@ -140,11 +192,6 @@ def letter_words(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     after = np.zeros(len(data), bool)
     after[:-1] = letter[1:]
     end = np.flatnonzero(letter & (~after | edge[1:])) + 1
-    parts = (end - start - 1) // WORD_BYTES + 1
-    if len(parts) and parts.max() > 1:
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, end = np.repeat(start, parts) + nth * WORD_BYTES, np.repeat(end, parts)
-        end = np.minimum(end, start + WORD_BYTES)
     return data, start, end, np.searchsorted(w.text_at, start, "right") - 1
 
 
@@ -191,7 +238,8 @@ def learn_pieces(counts: DataFrame, langs: list[str], path: str, rounds: int = 3
                 code = np.array([column[x] for x in block.column(0).to_pylist()], np.int64)
                 weight = np.zeros((block.num_rows, len(langs)))
                 weight[np.arange(block.num_rows), code] = block.column(2).to_numpy()
-                total += Lattice(block.column(1).to_pylist(), path).expected(p, weight)
+                for some, lattice in lattices(block.column(1).to_pylist(), path):
+                    total += lattice.expected(p, weight[some])
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
@@ -262,7 +310,10 @@ def identify_language(
 
                 def compute(new: np.ndarray, raw=raw, start=start, end=end, one=one) -> np.ndarray:
                     texts = [raw[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
-                    return np.vstack([Lattice(texts[a : a + 20_000], path).word_log(p) for a in range(0, len(texts), 20_000)])
+                    out = np.zeros((len(texts), len(langs)))
+                    for some, lattice in lattices(texts, path):
+                        out[some] = lattice.word_log(p)
+                    return out
 
                 each = memory.look_up(h, compute) if len(h) else np.zeros((0, len(langs)))
                 n = np.bincount(doc, minlength=len(part))

@@ -191,3 +191,35 @@ def test_language_id(spark, docs, small, nothing):
     assert Counter((r.doc_id, r.lang_pred != "und") for r in odd) == letters
     assert all((r.score == 0) == (r.lang_pred == "und") and 0 <= r.score <= 1 and not math.isnan(r.score) for r in odd)
     assert langid.identify_language(nothing, MODEL).collect() == []
+
+
+def test_forward_over_long_runs():
+    """Words of any length, and pieces of any length, against plain sums in logarithms."""
+    pieces = {x: k for k, x in enumerate(langid._pieces(MODEL))}
+    longest = max(pieces, key=len)
+    assert len(longest) > 12
+    texts = [longest, "မြန်မာဘာသာစကားမြန်မာ".encode(), b"abc" * 700, b"the", ("\u0f40" * 40).encode(), longest * 3]
+    p = np.full((len(pieces), 2), 1e-9)
+    p[:, 1] = np.linspace(1e-9, 1e-3, len(pieces))
+    got, uses = np.zeros((len(texts), 2)), np.zeros_like(p)
+    for some, lattice in langid.lattices(texts, MODEL):
+        got[some] = lattice.word_log(p)
+        uses += lattice.expected(p, np.tile([1.0, 0.0], (len(some), 1)))
+    for k, word in enumerate(texts):
+        for lang in range(2):
+            log = [0.0]
+            for end in range(1, len(word) + 1):
+                terms = [log[a] + math.log(p[n, lang]) for a in range(max(0, end - len(longest)), end) if (n := pieces.get(word[a:end])) is not None]
+                log.append(max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)))
+            assert got[k, lang] == pytest.approx(log[-1])
+    size = np.array([len(x) for x in pieces])
+    assert np.isfinite(uses).all() and not uses[:, 1].any() and uses[:, 0] @ size == pytest.approx(sum(map(len, texts)))
+
+
+def test_unseen_characters_spoil_no_language(spark):
+    run = "".join(chr(0x1000 + k) for k in range(30))
+    rows = [(k, "the cat and the dog sat on the mat", "en") for k in range(5)] + [(9, "der hund und die katze " + run, "de"), (10, "und die katze und der hund", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify_language(docs, MODEL, rounds=3).collect()
+    assert {r.doc_id: r.lang_pred for r in out} == {i: lang for i, _, lang in rows}
+    assert not any(math.isnan(r.score) for r in out)
