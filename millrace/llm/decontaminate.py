@@ -26,11 +26,6 @@ def plain_words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def folded_words(text: Column) -> Column:
-    """The same words with all letters lower-cased, which is faster: words that are equal stay equal."""
-    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
-
-
 def number_of_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")
 
@@ -60,9 +55,9 @@ def _term(word: Column) -> Column:
 def rare_terms(rows: DataFrame, windows: DataFrame, rarest: int) -> DataFrame:
     """(window, nth, term, offset, n_terms): the ``rarest`` positions of each window whose words are found
     least often in ``rows``, rarest first."""
-    placed = windows.select("window", F.posexplode("terms").alias("offset", "word")).select("window", "offset", F.lower("word").alias("word"))
+    placed = windows.select("window", F.posexplode("terms").alias("offset", "word")).select("window", "offset", "word")
     vocabulary = cut(placed.select("word").distinct())
-    found = rows.select(F.explode(folded_words(F.col("text"))).alias("word")).join(checked_broadcast(vocabulary, 64), "word", "left_semi")
+    found = rows.select(F.explode(plain_words(F.col("text"))).alias("word")).join(checked_broadcast(vocabulary, 64), "word", "left_semi")
     placed = placed.join(found.groupBy("word").count(), "word", "left").fillna(0, ["count"])
     order = Window.partitionBy("window").orderBy("count", "word", "offset")
     picked = placed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rarest)
@@ -72,7 +67,7 @@ def rare_terms(rows: DataFrame, windows: DataFrame, rarest: int) -> DataFrame:
 
 def positional_index(rows: DataFrame, words: DataFrame) -> DataFrame:
     """(term, id, h, pos): every position (from 0) of every word of ``words`` (word) in ``rows``."""
-    placed = rows.select("id", "h", F.posexplode(folded_words(F.col("text"))).alias("pos", "word"))
+    placed = rows.select("id", "h", F.posexplode(plain_words(F.col("text"))).alias("pos", "word"))
     kept = placed.join(checked_broadcast(cut(words.select("word").distinct()), 64), "word", "left_semi")
     return kept.select(_term(F.col("word")).alias("term"), "id", "h", "pos")
 

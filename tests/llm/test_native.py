@@ -185,3 +185,12 @@ def test_url_keys_of_any_depth(spark):
     listed = spark.createDataFrame([(k, moment(1), 1) for k in ("example.com", "h.i/s0/s1/s2", "com", "p.q/x")], "key string, at timestamp, listed int")
     table = spark.createDataFrame([(u, moment(2)) for u in urls], "url string, fetched timestamp")
     assert {r.url: r.rule for r in filter_urls(table, listed).collect() if r.blocked} == {urls[0]: "example.com", urls[-1]: "h.i/s0/s1/s2"}
+
+
+def test_words_do_not_depend_on_their_neighbours(spark):
+    """The lower case of a Greek capital sigma depends on what follows it; A-Z alone are lower-cased."""
+    texts = [(1, "x ΑΣ.ΒΕΤΑ y"), (2, "ΑΣ ΒΕΤΑ"), (3, "ΑΣ'ΒΕΤΑ END"), (4, "ας βετα"), (5, "ΒΕΤΑ ΑΣ")]
+    items = [(1, "ΑΣ ΒΕΤΑ")]
+    got = d.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == sorted(hits(texts, items, 10))
+    assert {r.doc_id for r in got if r.contaminated} == {1, 2, 3}
