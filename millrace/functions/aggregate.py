@@ -14,25 +14,31 @@ def count(c: Column, distinct: bool = False) -> Column:
     return F.count_distinct(c) if distinct else F.count(c)
 
 
-def total(c: Column, scale: int = 0, distinct: bool = False) -> Column:
-    """SUM as an exact DECIMAL of ``scale``; NULL over no values."""
-    d = c.cast(f"decimal(28,{scale})")
+def _exact(c: Column, scale: int | None, digits: int) -> Column:
+    """Without a scale: 28 digits before the point, so sums of any BIGINT fit, and 10 behind it."""
+    return c.cast("decimal(38,10)" if scale is None else f"decimal({digits},{scale})")
+
+
+def total(c: Column, scale: int | None = None, distinct: bool = False) -> Column:
+    """SUM as an exact DECIMAL, of ``scale`` or of 10 places; NULL over no values."""
+    d = _exact(c, scale, 28)
     return F.sum_distinct(d) if distinct else F.sum(d)
 
 
-def average(c: Column, scale: int = 0, distinct: bool = False) -> Column:
+def average(c: Column, scale: int | None = None, distinct: bool = False) -> Column:
     """AVG as DECIMAL rounded half up to four places; NULL over no values."""
-    d = c.cast(f"decimal(18,{scale})")
+    d = _exact(c, scale, 18)
     n = F.count_distinct(d) if distinct else F.count(d)
     s = F.sum_distinct(d) if distinct else F.sum(d)
-    return F.round(F.try_divide(s.cast(f"decimal(26,{scale})"), n.cast("decimal(11,0)")), 4)
+    whole = s if scale is None else s.cast(f"decimal(26,{scale})")
+    return F.round(F.try_divide(whole, n.cast("decimal(11,0)")), 4)
 
 
-def least(c: Column) -> Column:
+def minimum(c: Column) -> Column:
     return F.min(c)
 
 
-def greatest(c: Column) -> Column:
+def maximum(c: Column) -> Column:
     return F.max(c)
 
 

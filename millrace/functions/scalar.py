@@ -7,13 +7,11 @@ All of it stays inside code generation.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What VERSION() returns; a fixed value clients look for.
-SERVER_VERSION = "8.0.30-millrace"
-
-
 def lit(value: object) -> Column:
     """A literal: integers are BIGINT, fractions DOUBLE."""
     if isinstance(value, bool):
@@ -74,8 +72,14 @@ def like(c: Column, pattern: str) -> Column:
     return c.ilike(pattern)
 
 
-def between(c: Column, low: Column, high: Column) -> Column:
-    """Inclusive; NULL if any part is NULL."""
+def between(c: Column, low: Column | float | str | datetime.datetime, high: Column | float | str | datetime.datetime) -> Column:
+    """Inclusive; NULL if any part is NULL.
+
+    Bounds that are plain values are known not to be NULL: two comparisons, which reach the scan.
+    """
+    if not isinstance(low, Column) and not isinstance(high, Column) and low is not None and high is not None:
+        return (c >= low) & (c <= high)
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
     whole = c.isNotNull() & low.isNotNull() & high.isNotNull()
     return F.when(whole, (c >= low) & (c <= high))
 
@@ -132,8 +136,17 @@ def int_divide(a: Column, b: Column) -> Column:
     return F.call_function("div", a.cast("long"), F.nullif(b.cast("long"), F.lit(0).cast("long")))
 
 
-def negate(a: Column) -> Column:
-    return -a
+def _wide(c: Column, kind: str) -> Column:
+    """Whole numbers in a type that also holds the opposite of the smallest one: for BIGINT that is DECIMAL;
+    anything else as DOUBLE."""
+    if kind == "bigint":
+        return c.cast("decimal(20,0)")
+    return c.cast("long") if _family(kind) == "bigint" else cast_double(c, kind)
+
+
+def negate(a: Column, kind: str = "bigint") -> Column:
+    """Unary minus of a value of type name ``kind``; never an error."""
+    return -_wide(a, kind)
 
 
 # strings
@@ -186,8 +199,9 @@ def right(c: Column, n: Column) -> Column:
 # numbers
 
 
-def absolute(c: Column) -> Column:
-    return F.abs(c)
+def absolute(c: Column, kind: str = "bigint") -> Column:
+    """ABS of a value of type name ``kind``; never an error."""
+    return F.abs(_wide(c, kind))
 
 
 def ceil(c: Column) -> Column:
@@ -223,7 +237,7 @@ def rand() -> Column:
     return F.rand()
 
 
-# time and session
+# time
 
 
 def now() -> Column:
@@ -246,56 +260,103 @@ def day(c: Column) -> Column:
     return F.dayofmonth(c).cast("long")
 
 
-def version() -> Column:
-    return F.lit(SERVER_VERSION)
+# casts: never an error
 
+_TIMES = ("date", "timestamp")
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_MOST, _LEAST = (1 << 63) - 1, -(1 << 63)
 
-def database(name: str | None = None) -> Column:
-    return F.lit(name).cast("string")
 
+def _or_zero(c: Column, kind: str) -> Column:
+    return F.when(c.isNotNull(), F.coalesce(c.try_cast(kind), F.lit(0).cast(kind)))
 
-def connection_id() -> Column:
-    return lit(1)
 
+def cast_int(c: Column, kind: str = "string") -> Column:
+    """BIGINT of a value of type name ``kind``: text that is no whole number, and times, give 0; fractions
+    are cut off, and end at the bounds of BIGINT."""
+    if kind.startswith(_TIMES) or kind == "binary":
+        return F.when(c.isNotNull(), F.lit(0).cast("long"))
+    if kind in ("float", "double"):
+        known = F.nanvl(c.cast("double"), F.lit(0.0))
+        return F.when(c.isNotNull(), F.when(known >= float(_MOST), F.lit(_MOST)).when(known <= float(_LEAST), F.lit(_LEAST)).otherwise(_or_zero(known, "long")))
+    return _or_zero(c, "long")
 
-def last_insert_id(value: int = 0) -> Column:
-    return lit(value)
 
+def cast_double(c: Column, kind: str = "string") -> Column:
+    """DOUBLE; text that is no number, and times, give 0."""
+    if kind.startswith(_TIMES) or kind == "binary":
+        return F.when(c.isNotNull(), F.lit(0.0))
+    return _or_zero(c, "double")
 
-def row_count(value: int = -1) -> Column:
-    return lit(value)
 
+def cast_decimal(c: Column, precision: int = 10, scale: int = 0, kind: str = "string") -> Column:
+    """DECIMAL; times, and text that is no number or has blanks around it, give NULL."""
+    to = f"decimal({precision},{scale})"
+    if kind.startswith(_TIMES) or kind == "binary":
+        return F.lit(None).cast(to)
+    if kind == "string":
+        return F.when(~c.rlike(r"^[\x00-\x20]|[\x00-\x20]$"), c.try_cast(to))
+    return c.try_cast(to)
 
-def found_rows(value: int = 0) -> Column:
-    return lit(value)
 
+def cast_datetime(c: Column, kind: str = "string") -> Column:
+    """DATETIME; text but for ``yyyy-MM-dd HH:mm:ss``, with blanks around it at most, gives NULL, and so do
+    numbers."""
+    if kind.startswith(_TIMES):
+        return c.cast("timestamp_ntz")
+    plain = trim(c.cast("string"))
+    return F.when(plain.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"), plain.try_cast("timestamp_ntz"))
 
-# casts: never an error
 
+def cast_string(c: Column, kind: str = "string") -> Column:
+    """Text of a value: times as ``yyyy-MM-dd HH:mm:ss``, booleans as 1 and 0, bytes as 0x and hex."""
+    if kind.startswith(_TIMES):
+        return text_of_time(c)
+    if kind == "boolean":
+        return c.cast("int").cast("string")
+    return F.concat(F.lit("0x"), F.hex(c)) if kind == "binary" else c.cast("string")
 
-def _or_zero(c: Column, kind: str) -> Column:
-    return F.when(c.isNotNull(), F.coalesce(c.try_cast(kind), F.lit(0).cast(kind)))
 
+# values of different types
 
-def cast_int(c: Column) -> Column:
-    """BIGINT; text that is no whole number gives 0."""
-    return _or_zero(c, "long")
 
+def _family(kind: str) -> str:
+    if kind in _WHOLE or kind == "boolean":
+        return "bigint"
+    if kind in ("float", "double"):
+        return "double"
+    if kind.startswith("decimal"):
+        return "decimal"
+    return "time" if kind.startswith(_TIMES) else kind
 
-def cast_double(c: Column) -> Column:
-    """DOUBLE; text that is no number gives 0."""
-    return _or_zero(c, "double")
+
+def common_kind(*kinds: str) -> str:
+    """The type that CASE gives branches of several types: DECIMAL before DOUBLE before BIGINT among numbers,
+    DATETIME among times, else text.  Untyped NULLs (void) do not count."""
+    families = {_family(k) for k in kinds if k != "void"}
+    if len(families) <= 1:
+        return next(iter(families), "void")
+    if families <= {"bigint", "double", "decimal"}:
+        return "decimal" if "decimal" in families else "double"
+    return "string"
 
 
-def cast_decimal(c: Column, precision: int = 10, scale: int = 0) -> Column:
-    """DECIMAL; text that is no number gives NULL."""
-    return c.try_cast(f"decimal({precision},{scale})")
+def as_kind(c: Column, kind: str, common: str) -> Column:
+    """A value of type ``kind`` as one of ``common``, as ``common_kind`` names it."""
+    if common == "string":
+        return cast_string(c, kind)
+    return c.cast({"decimal": "decimal(38,10)", "time": "timestamp_ntz", "bigint": "bigint", "double": "double"}.get(common, common))
 
 
-def cast_datetime(c: Column) -> Column:
-    """DATETIME; text that is no time gives NULL."""
-    return c.try_cast("timestamp_ntz")
+def comparable(a: Column, kind_a: str, b: Column, kind_b: str) -> tuple[Column, Column]:
+    """Both sides as they are compared: numbers with numbers and times with times by value, bytes with
+    bytes, anything else by its text."""
+    common = common_kind(kind_a, kind_b)
+    return as_kind(a, kind_a, common), as_kind(b, kind_b, common)
 
 
-def cast_string(c: Column) -> Column:
-    return c.cast("string")
+def case_mixed(branches: list[tuple[Column, Column, str]], otherwise: tuple[Column, str] | None = None) -> Column:
+    """Searched CASE over (condition, value, type name of the value); the result has their common type."""
+    common = common_kind(*[k for _, _, k in branches], *([otherwise[1]] if otherwise else []))
+    last = as_kind(*otherwise, common) if otherwise else None
+    return case_when([(condition, as_kind(value, kind, common)) for condition, value, kind in branches], last)

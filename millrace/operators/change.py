@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.lineage import cut
+
 
 class DuplicateKey(ValueError):
     """Error 1062."""
@@ -17,10 +19,7 @@ class DuplicateKey(ValueError):
 
 def duplicate_keys(table: DataFrame, added: DataFrame, key: list[str]) -> DataFrame:
     """Keys of ``added`` that occur there twice or in ``table`` already; a key with a NULL repeats freely."""
-    whole = [F.col(k).isNotNull() for k in key]
-    new = added.select(key).where(whole[0] if len(whole) == 1 else F.lit(True))
-    for w in whole:
-        new = new.where(w)
+    new = added.select(key).na.drop()
     twice = new.groupBy(key).count().where("count > 1").select(key)
     return twice.union(new.join(table.select(key), key, "left_semi")).distinct()
 
@@ -29,11 +28,12 @@ def insert(table: DataFrame, added: DataFrame, keys: list[list[str]] | None = No
     """``table`` with the rows of ``added`` (its columns by name, missing ones NULL).
 
     ``auto``: a column in which NULL and 0 are replaced by the numbers after the largest one so far.
-    ``keys``: unique keys; a violation raises DuplicateKey.
+    ``keys``: unique keys; a violation raises DuplicateKey.  The rows are checkpointed once they are
+    numbered, so that what is checked is what is added, whatever is computed again.
     """
     rows = added.select(*[(added[c] if c in added.columns else F.lit(None)).cast(table.schema[c].dataType).alias(c) for c in table.columns])
     if auto:
-        rows = number(rows, auto, table.agg(F.coalesce(F.max(auto), F.lit(0))).first()[0])
+        rows = cut(number(rows, auto, table.agg(F.coalesce(F.max(auto), F.lit(0))).first()[0]))
     for key in keys or []:
         if not duplicate_keys(table, rows, key).isEmpty():
             raise DuplicateKey(f"Duplicate entry for key {', '.join(key)}")
@@ -43,11 +43,11 @@ def insert(table: DataFrame, added: DataFrame, keys: list[list[str]] | None = No
 def number(rows: DataFrame, column: str, after: int) -> DataFrame:
     """Fills NULL and 0 in ``column`` with ``after`` + 1, + 2, and so on.
 
-    Rows are numbered inside their partition and shifted by the partitions before, so no task holds
-    them all.
+    Each row's partition and place are checkpointed first and read by all that follows.  Rows are numbered
+    inside their partition and shifted by the partitions before, so no task holds them all.
     """
     open_ = F.coalesce(F.col(column), F.lit(0)) == 0
-    placed = rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    placed = cut(rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     per = placed.where(open_).groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))  # one row a partition
@@ -65,16 +65,17 @@ def update(table: DataFrame, assign: dict[str, Column], where: Column | None = N
 
 
 def update_join(table: DataFrame, other: DataFrame, key: list[str], assign: dict[str, Column]) -> DataFrame:
-    """UPDATE of ``table`` joined to ``other`` on ``key``; a row with several partners is changed once.
+    """UPDATE of ``table`` joined to ``other`` on ``key``; a row with several partners is changed once, by the
+    partner that is smallest in ``other``'s columns from left to right (NULL first).
     ``assign`` may use columns of ``other``, which come with the prefix ``o_``."""
-    picked = other.dropDuplicates(key).select(*[F.col(c).alias(f"o_{c}") for c in other.columns], F.lit(True).alias("__hit"))
-    on = [F.col(k) == F.col(f"o_{k}") for k in key]
-    joined = table.join(picked, on, "left")
+    least = F.min(F.struct(*[F.col(c).alias(f"o_{c}") for c in other.columns])).alias("__o")
+    picked = other.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(least)
+    joined = table.join(picked, [F.col(k) == F.col(f"__{k}") for k in key], "left").select(*table.columns, "__o.*", F.col("__o").isNotNull().alias("__hit"))
     return update(joined, assign, F.col("__hit")).select(table.columns)
 
 
 def delete(table: DataFrame, where: Column | None = None) -> DataFrame:
-    return table.limit(0) if where is None else table.where(~F.coalesce(where, F.lit(False)))
+    return truncate(table) if where is None else table.where(~F.coalesce(where, F.lit(False)))
 
 
 def delete_join(table: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
@@ -82,6 +83,11 @@ def delete_join(table: DataFrame, other: DataFrame, key: list[str]) -> DataFrame
     return table.join(other.select(key), key, "left_anti")
 
 
+def truncate(table: DataFrame) -> DataFrame:
+    """No rows, the same columns; the scan is dropped from the plan."""
+    return table.where(F.lit(False))
+
+
 def add_column(table: DataFrame, name: str, kind: str, after: str | None = None, first: bool = False) -> DataFrame:
     """Old rows read NULL."""
     at = 0 if first else (table.columns.index(after) + 1 if after else len(table.columns))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.lineage import cut
+
 
 def column_statistics(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, n_rows, n_nulls, n_distinct, low, high), bounds as text; one pass, then one row a column."""
@@ -35,14 +37,21 @@ def column_statistics(table: DataFrame, columns: list[str] | None = None) -> Dat
 
 
 def histogram(table: DataFrame, column: str, buckets: int = 256) -> DataFrame:
-    """(bucket, low, high, n, n_distinct) of about equal n, for a column that can be ordered.
+    """(bucket, low, high, n, repeats, n_distinct) of about equal depth, for a column that can be ordered.
 
-    Bounds are approximate quantiles, so no task sorts the column; counts are exact.
+    Value by value, the bucket is that of the value's last row in order: rows are counted per value, and
+    the running count comes from counts of value ranges (shuffled by range, summed per range), so no task
+    orders the column.  ``repeats`` counts the rows of ``high``.  NULLs are left out.  Exact at every size.
     """
-    spots = [i / buckets for i in range(1, buckets)]
-    bounds = table.agg(F.percentile_approx(column, spots, 10_000).alias("bounds"))
-    # one row of bounds; a value's bucket is the number of bounds below it
-    placed = table.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).crossJoin(F.broadcast(bounds))
-    bucket = F.size(F.filter("bounds", lambda b: b < F.col("v")))
-    placed = placed.select(bucket.alias("bucket"), "v").groupBy("bucket", "v").count()
-    return placed.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
+    values = table.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(values.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition
+    base = placed.groupBy("part").agg(F.sum("n").alias("own")).select("part", F.coalesce(F.sum("own").over(upto), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = F.col("base") + F.sum("n").over(inside)
+    whole = table.agg(F.count(column).alias("whole"))
+    ranked = placed.join(F.broadcast(base), "part").crossJoin(F.broadcast(whole))
+    bucket = F.call_function("div", (rank - 1) * buckets, F.col("whole")).cast("int")
+    ranked = ranked.select(bucket.alias("bucket"), "v", "n")
+    return ranked.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n"), F.max_by("n", "v").alias("repeats"), F.count(F.lit(1)).alias("n_distinct"))

@@ -15,6 +15,7 @@ from millrace.functions import aggregate as agg
 from millrace.functions import scalar as fn
 from millrace.operators import change, statistics
 from millrace.operators import relational as rel
+from millrace.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,16 +24,6 @@ ORACLE_SQL: dict[str, str] = {}
 col = F.col
 
 
-class Tables:
-    """Tables of a directory by attribute."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return rel.scan(self.spark, f"{self.sf_dir}/{name}.parquet")
-
-
 def register(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
     def keep(build: Callable[[Tables], DataFrame]) -> Query:
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +59,8 @@ def pricing_summary(t: Tables) -> DataFrame:
         "sum_qty": agg.total(col("l_quantity"), 2).cast("double"),
         "sum_price": agg.total(col("l_extendedprice"), 2).cast("double"),
         "avg_qty": F.round(F.avg("l_quantity"), 3),
-        "low": agg.least(col("l_extendedprice")),
-        "high": agg.greatest(col("l_extendedprice")),
+        "low": agg.minimum(col("l_extendedprice")),
+        "high": agg.maximum(col("l_extendedprice")),
     }
     return rel.aggregate(rows, {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"}, measures)
 
@@ -84,7 +75,7 @@ def global_aggregate(t: Tables) -> DataFrame:
         "n_open": agg.count(fn.nullif(col("o_orderstatus"), F.lit("F"))),
         "n_customers": agg.count(col("o_custkey"), distinct=True),
         "total": agg.total(col("o_totalprice"), 2).cast("double"),
-        "first_day": F.left(fn.text_of_time(agg.least(col("o_orderdate"))), F.lit(10)),
+        "first_day": F.left(fn.text_of_time(agg.minimum(col("o_orderdate"))), F.lit(10)),
     }
     return rel.aggregate(t.orders, {}, measures)
 
@@ -92,7 +83,7 @@ def global_aggregate(t: Tables) -> DataFrame:
 @register("SELECT count(*) AS n, sum(o_custkey)::DOUBLE AS s, min(o_custkey) AS low FROM orders WHERE o_totalprice < 0")
 def aggregate_of_nothing(t: Tables) -> DataFrame:
     rows = rel.select(t.orders, col("o_totalprice") < 0)
-    return rel.aggregate(rows, {}, {"n": agg.count_all(), "s": agg.total(col("o_custkey")).cast("double"), "low": agg.least(col("o_custkey"))})
+    return rel.aggregate(rows, {}, {"n": agg.count_all(), "s": agg.total(col("o_custkey")).cast("double"), "low": agg.minimum(col("o_custkey"))})
 
 
 @register("SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -134,7 +125,7 @@ def group_concat(t: Tables) -> DataFrame:
 
 @register("SELECT p_brand, min(p_name) AS first_name, max(p_type) AS last_type FROM part GROUP BY p_brand")
 def min_max_text(t: Tables) -> DataFrame:
-    return rel.aggregate(t.part, {"p_brand": "p_brand"}, {"first_name": agg.least(col("p_name")), "last_type": agg.greatest(col("p_type"))})
+    return rel.aggregate(t.part, {"p_brand": "p_brand"}, {"first_name": agg.minimum(col("p_name")), "last_type": agg.maximum(col("p_type"))})
 
 
 @register(
@@ -145,6 +136,29 @@ def average_to_four_places(t: Tables) -> DataFrame:
     return rel.aggregate(t.lineitem, {"l_shipmode": "l_linestatus"}, {"mean": agg.average(col("l_extendedprice"), 2).cast("double")})
 
 
+@register(
+    """SELECT event_type, CAST(sum(CAST(value AS DECIMAL(38,10))) AS DOUBLE) AS total, round(CAST(sum(CAST(value AS DECIMAL(38,10))) AS DOUBLE) / count(value), 2) AS mean,
+       CAST(sum(event_id) AS DOUBLE) AS ids FROM events GROUP BY event_type"""
+)
+def sum_without_scale(t: Tables) -> DataFrame:
+    measures = {
+        "total": agg.total(col("value")).cast("double"),
+        "mean": F.round(agg.average(col("value")).cast("double"), 2),
+        "ids": agg.total(col("event_id")).cast("double"),
+    }
+    return rel.aggregate(t.events, {"event_type": "event_type"}, measures)
+
+
+@register(
+    """SELECT o_orderpriority, CAST(round(s / n, 4) AS DOUBLE) AS mean, n FROM (
+       SELECT o_orderpriority, sum(CAST(DISTINCT_KEY AS DECIMAL(18,0))) AS s, count(*) AS n
+       FROM (SELECT DISTINCT o_orderpriority, o_custkey AS DISTINCT_KEY FROM orders) GROUP BY 1)"""
+)
+def avg_distinct(t: Tables) -> DataFrame:
+    measures = {"mean": agg.average(col("o_custkey"), distinct=True).cast("double"), "n": agg.count(col("o_custkey"), distinct=True)}
+    return rel.aggregate(t.orders, {"o_orderpriority": "o_orderpriority"}, measures)
+
+
 @register("SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
 def select_distinct(t: Tables) -> DataFrame:
     return rel.distinct(t.customer.select("c_mktsegment", "c_nationkey"))
@@ -161,8 +175,16 @@ def filter_comparison(t: Tables) -> DataFrame:
 
 @register("SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 120000 AND o_orderkey NOT BETWEEN 100 AND 5000")
 def filter_between(t: Tables) -> DataFrame:
-    inside = fn.between(col("o_totalprice"), F.lit(100000), F.lit(120000))
-    return rel.select(t.orders, inside, ~fn.between(col("o_orderkey"), F.lit(100), F.lit(5000))).select("o_orderkey")
+    return rel.select(t.orders, fn.between(col("o_totalprice"), 100000, 120000), ~fn.between(col("o_orderkey"), 100, 5000)).select("o_orderkey")
+
+
+@register(
+    """SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 50 <> 1 THEN p_size BETWEEN p_partkey % 7 AND p_partkey % 50 END AS inside FROM part"""
+)
+def between_columns(t: Tables) -> DataFrame:
+    key = col("p_partkey")
+    inside = fn.between(col("p_size"), fn.nullif(key % 7, F.lit(0)), fn.nullif(key % 50, F.lit(1)))
+    return rel.project(t.part, p_partkey="p_partkey", inside=inside)
 
 
 @register("SELECT p_partkey FROM part WHERE p_size IN (1, 7, 19) AND p_brand NOT IN ('Brand#11', 'Brand#22')")
@@ -170,9 +192,9 @@ def filter_in(t: Tables) -> DataFrame:
     return rel.select(t.part, fn.in_list(col("p_size"), [1, 7, 19]), ~fn.in_list(col("p_brand"), ["Brand#11", "Brand#22"])).select("p_partkey")
 
 
-@register("SELECT p_partkey, (p_size IN (1, NULL)) AS found FROM part WHERE p_size < 4")
+@register("SELECT p_partkey, (p_size IN (1, NULL)) AS found FROM part")
 def in_list_with_null(t: Tables) -> DataFrame:
-    return rel.project(rel.select(t.part, col("p_size") < 4), p_partkey="p_partkey", found=fn.in_list(col("p_size"), [1, None]))
+    return rel.project(t.part, p_partkey="p_partkey", found=fn.in_list(col("p_size"), [1, None]))
 
 
 @register("SELECT p_partkey FROM part WHERE p_type ILIKE '%_CON%' AND p_name NOT ILIKE '%7'")
@@ -220,11 +242,87 @@ def casts(t: Tables) -> DataFrame:
     )
 
 
+@register(
+    """SELECT o_orderkey, 0::BIGINT AS time_as_int, 0.0::DOUBLE AS time_as_double, TRUE AS time_as_decimal_missing,
+       CAST(trunc(o_totalprice) AS BIGINT) AS price_as_int, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS time_as_text,
+       o_orderkey AS text_as_int, TRUE AS blank_decimal_missing, TRUE AS day_as_time_missing, year(o_orderdate) AS text_as_time_year FROM orders"""
+)
+def cast_corners(t: Tables) -> DataFrame:
+    key, at, price = col("o_orderkey"), col("o_orderdate"), col("o_totalprice")
+    kind = t.orders.schema["o_orderdate"].dataType.simpleString()
+    blank = F.concat(F.lit(" "), key.cast("string"), F.lit(" "))
+    return rel.project(
+        t.orders,
+        o_orderkey="o_orderkey",
+        time_as_int=fn.cast_int(at, kind),
+        time_as_double=fn.cast_double(at, kind),
+        time_as_decimal_missing=fn.cast_decimal(at, kind=kind).isNull(),
+        price_as_int=fn.cast_int(price, "double"),
+        time_as_text=fn.cast_string(at, kind),
+        text_as_int=fn.cast_int(blank),
+        blank_decimal_missing=fn.cast_decimal(blank).isNull(),
+        day_as_time_missing=fn.cast_datetime(F.date_format(at, "yyyy-MM-dd")).isNull(),
+        text_as_time_year=fn.year(fn.cast_datetime(F.concat(F.lit(" "), fn.text_of_time(at)))),
+    )
+
+
+@register(
+    """SELECT p_partkey, p_size::VARCHAR < right(p_brand, 2) AS number_below_text, p_size::VARCHAR = '7' AS number_is_text,
+       p_size < p_partkey AS number_below_number FROM part"""
+)
+def compare_mixed_types(t: Tables) -> DataFrame:
+    size, end = col("p_size"), fn.right(col("p_brand"), F.lit(2))
+    a, b = fn.comparable(size, "int", end, "string")
+    c, d = fn.comparable(size, "int", F.lit("7"), "string")
+    e, f = fn.comparable(size, "int", col("p_partkey"), "bigint")
+    return rel.project(t.part, p_partkey="p_partkey", number_below_text=a < b, number_is_text=c == d, number_below_number=e < f)
+
+
+@register(
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') >= '1998' AS from_1998,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') = '1998-03-15 00:00:00' AS that_day FROM orders"""
+)
+def compare_time_with_text(t: Tables) -> DataFrame:
+    kind = t.orders.schema["o_orderdate"].dataType.simpleString()
+    a, b = fn.comparable(col("o_orderdate"), kind, F.lit("1998"), "string")
+    c, d = fn.comparable(col("o_orderdate"), kind, F.lit("1998-03-15 00:00:00"), "string")
+    return rel.project(t.orders, o_orderkey="o_orderkey", from_1998=a >= b, that_day=c == d)
+
+
+@register(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey::VARCHAR WHEN o_orderstatus = 'O' THEN o_orderpriority
+       ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS mixed,
+       CASE WHEN o_orderstatus = 'F' THEN o_custkey::DOUBLE ELSE o_totalprice END AS number FROM orders"""
+)
+def case_of_mixed_types(t: Tables) -> DataFrame:
+    kind = t.orders.schema["o_orderdate"].dataType.simpleString()
+    status, key = col("o_orderstatus"), col("o_custkey")
+    mixed = fn.case_mixed([(status == "F", key, "bigint"), (status == "O", col("o_orderpriority"), "string")], (col("o_orderdate"), kind))
+    number = fn.case_mixed([(status == "F", key, "bigint")], (col("o_totalprice"), "double"))
+    return rel.project(t.orders, o_orderkey="o_orderkey", mixed=mixed, number=number)
+
+
+@register(
+    """SELECT n_nationkey, n_nationkey <> 0 AS number, n_name <> '' AS text, coalesce(nullif(n_regionkey, 1), nullif(n_nationkey, 2), -1) AS first_known,
+       (CASE WHEN n_nationkey > 3 THEN '0' ELSE 'x' END) <> '0' AS zero FROM nation"""
+)
+def truth_and_coalesce(t: Tables) -> DataFrame:
+    key = col("n_nationkey")
+    return rel.project(
+        t.nation,
+        n_nationkey="n_nationkey",
+        number=fn.truth(key, "int"),
+        text=fn.truth(col("n_name"), "string"),
+        first_known=fn.coalesce(fn.nullif(col("n_regionkey"), F.lit(1)), fn.nullif(key, F.lit(2)), F.lit(-1)),
+        zero=fn.truth(fn.if_(key > 3, F.lit("0"), F.lit("x")), "string"),
+    )
+
+
 @register(
     """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / (o_orderkey % 3) END AS quotient,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey % (o_orderkey % 4) END AS rest,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey // (o_orderkey % 5) END AS whole,
-       o_custkey * 1000000007 - o_orderkey AS product, -o_custkey AS negative, o_totalprice * 2 + 1 AS fraction FROM orders"""
+       o_custkey * 1000000007 - o_orderkey AS product, CAST(-o_custkey AS DOUBLE) AS negative, o_totalprice * 2 + 1 AS fraction FROM orders"""
 )
 def arithmetic(t: Tables) -> DataFrame:
     key, customer, price = col("o_orderkey"), col("o_custkey"), col("o_totalprice")
@@ -235,7 +333,7 @@ def arithmetic(t: Tables) -> DataFrame:
         rest=fn.modulo(customer, key % 4),
         whole=fn.int_divide(customer, key % 5),
         product=fn.subtract_int(fn.multiply_int(customer, F.lit(1000000007)), key),
-        negative=fn.negate(customer),
+        negative=fn.negate(customer, "bigint").cast("double"),
         fraction=fn.add(fn.multiply(price, F.lit(2)), F.lit(1)),
     )
 
@@ -279,16 +377,15 @@ def substring_edges(t: Tables) -> DataFrame:
 
 @register(
     """SELECT c_custkey, abs(c_acctbal) AS absolute, CAST(ceil(c_acctbal) AS BIGINT) AS up, CAST(floor(c_acctbal) AS BIGINT) AS down,
-       CAST(round(c_acctbal) AS BIGINT) AS whole, round(c_acctbal, 1) AS tenth, c_custkey % 7 AS rest, CAST(power(c_custkey % 9, 2) AS DOUBLE) AS square,
-       CASE WHEN c_acctbal >= 0 THEN round(sqrt(c_acctbal), 6) END AS root FROM customer WHERE c_acctbal * 100 % 10 <> 5 AND c_acctbal * 100 % 100 <> 50"""
+       CAST(round(CAST(c_acctbal AS DECIMAL(18,2)), 0) AS BIGINT) AS whole, CAST(round(CAST(c_acctbal AS DECIMAL(18,2)), 1) AS DOUBLE) AS tenth, c_custkey % 7 AS rest, CAST(power(c_custkey % 9, 2) AS DOUBLE) AS square,
+       CASE WHEN c_acctbal >= 0 THEN round(sqrt(c_acctbal), 6) END AS root FROM customer"""
 )
 def number_functions(t: Tables) -> DataFrame:
     balance = col("c_acctbal")
-    rows = rel.select(t.customer, balance * 100 % 10 != 5, balance * 100 % 100 != 50)
     return rel.project(
-        rows,
+        t.customer,
         c_custkey="c_custkey",
-        absolute=fn.absolute(balance),
+        absolute=fn.absolute(balance, "double"),
         up=fn.ceil(balance),
         down=fn.floor(balance),
         whole=fn.round_(balance),
@@ -376,10 +473,31 @@ def theta_join(t: Tables) -> DataFrame:
        ON c.c_custkey = o.o_custkey WHERE o.n >= 12"""
 )
 def derived_table_join(t: Tables) -> DataFrame:
-    o = rel.aggregate(t.orders, {"o_custkey": "o_custkey"}, {"n": agg.count_all(), "best": agg.greatest(col("o_totalprice"))}, col("n") >= 12)
+    o = rel.aggregate(t.orders, {"o_custkey": "o_custkey"}, {"n": agg.count_all(), "best": agg.maximum(col("o_totalprice"))}, col("n") >= 12)
     return rel.join(t.customer, o, col("c_custkey") == col("o_custkey")).select("c_custkey", "n", "best")
 
 
+@register("SELECT n.*, r_name FROM nation n JOIN region r ON n_regionkey = r_regionkey")
+def qualified_star(t: Tables) -> DataFrame:
+    return rel.join(t.nation.alias("n"), t.region.alias("r"), col("n.n_regionkey") == col("r.r_regionkey")).select("n.*", "r_name")
+
+
+@register(
+    """SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) c
+       LEFT JOIN (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier) s ON c.k = s.k"""
+)
+def join_on_null_keys(t: Tables) -> DataFrame:
+    c = rel.project(t.customer, c_custkey="c_custkey", k=fn.nullif(col("c_nationkey"), F.lit(3)))
+    s = rel.project(t.supplier, s_suppkey="s_suppkey", j=fn.nullif(col("s_nationkey"), F.lit(3)))
+    return rel.join(c, s, col("k") == col("j"), "left").select("c_custkey", "s_suppkey")
+
+
+@register("SELECT o_orderkey, points FROM orders JOIN (VALUES ('1-URGENT', 5), ('2-HIGH', 3), (NULL, 1)) p(priority, points) ON o_orderpriority = priority")
+def join_with_values(t: Tables) -> DataFrame:
+    p = rel.values(t.spark, [("1-URGENT", 5), ("2-HIGH", 3), (None, 1)], "priority string, points int")
+    return rel.join(t.orders, p, col("o_orderpriority") == col("priority")).select("o_orderkey", "points")
+
+
 # subqueries
 
 
@@ -455,7 +573,7 @@ def union_distinct(t: Tables) -> DataFrame:
 
 @register("SELECT 1 + 1 AS two, 'a' || 'b' AS ab, NULL IS NULL AS yes, count(*) AS n FROM region GROUP BY ALL")
 def dual_expression(t: Tables) -> DataFrame:
-    rows = rel.dual(t.spark, two=F.lit(2), ab=fn.concat(F.lit("a"), F.lit("b")), yes=F.lit(None).isNull())
+    rows = rel.dual(t.spark, two=fn.add_int(F.lit(1), F.lit(1)), ab=fn.concat(F.lit("a"), F.lit("b")), yes=F.lit(None).isNull())
     return rel.with_scalar(rows, "n", t.region.agg(agg.count_all()))
 
 
@@ -472,12 +590,19 @@ def analyze_columns(t: Tables) -> DataFrame:
 
 
 @register(
-    """SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS n_distinct, min(p_size) AS low, max(p_size) AS high
-       FROM (SELECT p_size, count(*) AS n, 1 AS d FROM part GROUP BY p_size)"""
+    """WITH v AS (SELECT o_custkey AS v, count(*) AS n FROM orders GROUP BY 1),
+       r AS (SELECT v, n, CAST((sum(n) OVER (ORDER BY v) - 1) * 256 // (SELECT count(o_custkey) FROM orders) AS INTEGER) AS bucket FROM v)
+       SELECT bucket, min(v) AS low, max(v) AS high, CAST(sum(n) AS BIGINT) AS n, CAST(max_by(n, v) AS BIGINT) AS repeats, count(*) AS n_distinct FROM r GROUP BY bucket"""
 )
 def histogram_totals(t: Tables) -> DataFrame:
-    """Bucket bounds are approximate; what all buckets hold together is not."""
-    h = statistics.histogram(t.part, "p_size", 16)
+    """Every bucket of the 256 of a column."""
+    return statistics.histogram(t.orders, "o_custkey", 256)
+
+
+@register("SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS n_distinct, min(p_size) AS low, max(p_size) AS high FROM (SELECT p_size, count(*) AS n FROM part GROUP BY p_size)")
+def histogram_of_few_values(t: Tables) -> DataFrame:
+    """More buckets than values: one value a bucket at most."""
+    h = statistics.histogram(t.part, "p_size", 256)
     return h.agg(F.sum("n").alias("n"), F.sum("n_distinct").alias("n_distinct"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
@@ -519,6 +644,37 @@ def insert_rows(t: Tables) -> DataFrame:
     return change.insert(t.supplier.select("s_suppkey", "s_name"), new, [["s_suppkey"]], auto="s_suppkey")
 
 
+@register(
+    """SELECT c_custkey, c_name, CASE WHEN o.best IS NULL THEN c_acctbal ELSE o.best END AS c_acctbal FROM customer
+       LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS best FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey"""
+)
+def update_by_one_of_several(t: Tables) -> DataFrame:
+    """A row with several partners takes the smallest one."""
+    o = rel.project(t.orders, c_custkey="o_custkey", price="o_totalprice")
+    return change.update_join(t.customer.select("c_custkey", "c_name", "c_acctbal"), o, ["c_custkey"], {"c_acctbal": col("o_price")})
+
+
+@register(
+    """SELECT s_suppkey, s_name, s_nationkey FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + n_nationkey + 1, n_name, n_nationkey FROM nation"""
+)
+def insert_numbered_rows(t: Tables) -> DataFrame:
+    """The nations take the numbers after the largest one, in any order; each number once."""
+    new = rel.project(t.nation, s_name="n_name", s_nationkey="n_nationkey")
+    out = change.insert(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), new.orderBy("s_nationkey"), [["s_suppkey"]], auto="s_suppkey")
+    return out
+
+
+@register("SELECT s_suppkey, NULL::INTEGER AS rating, s_name, s_nationkey FROM supplier")
+def add_and_drop_column(t: Tables) -> DataFrame:
+    return change.drop_column(change.add_column(t.supplier, "rating", "int", after="s_suppkey"), "s_acctbal")
+
+
+@register("SELECT s_suppkey, s_name FROM supplier WHERE FALSE UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 1")
+def truncate_and_insert(t: Tables) -> DataFrame:
+    rows = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    return change.insert(change.truncate(rows), rel.select(rows, col("s_nationkey") == 1)).select("s_suppkey", "s_name")
+
+
 # star-schema queries over several operators
 
 
@@ -556,7 +712,7 @@ def local_supplier_volume(t: Tables) -> DataFrame:
 )
 def revenue_forecast(t: Tables) -> DataFrame:
     rows = rel.select(
-        t.lineitem, col("l_shipdate") >= ts("1997-01-01"), col("l_shipdate") < ts("1998-01-01"), fn.between(col("l_discount"), F.lit(0.03), F.lit(0.07)), col("l_quantity") < 24
+        t.lineitem, col("l_shipdate") >= ts("1997-01-01"), col("l_shipdate") < ts("1998-01-01"), fn.between(col("l_discount"), 0.03, 0.07), col("l_quantity") < 24
     )
     return rel.aggregate(rows, {}, {"revenue": agg.total(fn.multiply(col("l_extendedprice"), col("l_discount")), 4).cast("double")})
 

@@ -1,317 +1,17 @@
-"""Named tables as versions of Parquet files, with keys, transactions and SHOW-like listings.
-
-Every change writes a new version of a table and then points the catalogue at it; a version is never
-written twice, so readers keep what they started with.  The catalogue is one small JSON file per
-version of itself, read and written through Spark's file system, so any store that Spark can use works.
-"""
+"""Tables of a folder of Parquet files."""
 
 from __future__ import annotations
 
-import json
-import uuid
-from typing import Any
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from millrace.operators import change, statistics
-
-
-class TableError(Exception):
-    """An error with the dialect's number."""
-
-    def __init__(self, code: int, message: str):
-        super().__init__(f"({code}) {message}")
-        self.code = code
-
-
-#: Error numbers of the dialect; fixed values.
-DB_EXISTS, NO_DB, BAD_DB, TABLE_EXISTS, BAD_FIELD, DUP_ENTRY, NO_TABLE, BAD_NULL, TXN_IN_DDL, NO_TXN, CONFLICT = (
-    1007, 1046, 1049, 1050, 1054, 1062, 1146, 1048, 1568, 1792, 1213,
-)
-
-
-class Store:
-    """Databases and tables under ``root``.
-
-    A table's entry has its path, columns (name, type, nullable, default), unique keys (the first is
-    primary), the auto-increment column and the next comment.  Between ``begin`` and ``commit`` changes
-    are kept aside; ``commit`` fails if another commit changed one of the same tables meanwhile.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
-        self.database: str | None = None
-        self._open: dict[str, Any] | None = None
-        self._base: dict[str, Any] = {}
-
-    # catalogue
-
-    def _versions(self) -> list[int]:
-        names = (f.getPath().getName() for f in self._fs.listStatus(self._path(self.root)))
-        return sorted(int(n[8:-5]) for n in names if n.startswith("catalog-") and n.endswith(".json"))
-
-    def _load(self) -> dict[str, Any]:
-        found = self._versions()
-        if not found:
-            return {"version": 0, "databases": {}}
-        text = self.spark.read.option("wholetext", True).text(f"{self.root}/catalog-{found[-1]}.json").first()[0]
-        return json.loads(text) | {"version": found[-1]}
-
-    def _save(self, catalog: dict[str, Any]) -> None:
-        """Writes the next version; creating its file fails if someone else was faster."""
-        catalog = catalog | {"version": catalog["version"] + 1}
-        at = self._path(f"{self.root}/catalog-{catalog['version']}.json")
-        try:
-            out = self._fs.create(at, False)
-        except Exception as e:
-            raise TableError(CONFLICT, "the catalogue was changed meanwhile") from e
-        out.write(bytearray(json.dumps(catalog).encode()))
-        out.close()
-
-    def _now(self) -> dict[str, Any]:
-        return self._open if self._open is not None else self._load()
-
-    def _ddl(self) -> dict[str, Any]:
-        if self._open is not None:
-            raise TableError(TXN_IN_DDL, "schema changes are not allowed in a transaction")
-        return self._load()
-
-    def _tables(self, catalog: dict[str, Any]) -> dict[str, Any]:
-        if self.database is None:
-            raise TableError(NO_DB, "no database selected")
-        if self.database not in catalog["databases"]:
-            raise TableError(BAD_DB, f"unknown database '{self.database}'")
-        return catalog["databases"][self.database]
-
-    def _entry(self, catalog: dict[str, Any], table: str) -> dict[str, Any]:
-        tables = self._tables(catalog)
-        if table.lower() not in tables:
-            raise TableError(NO_TABLE, f"table '{self.database}.{table}' doesn't exist")
-        return tables[table.lower()]
-
-    # databases and schemas
-
-    def create_database(self, name: str, if_not_exists: bool = False) -> None:
-        catalog = self._ddl()
-        if name.lower() in catalog["databases"]:
-            if if_not_exists:
-                return
-            raise TableError(DB_EXISTS, f"database '{name}' exists")
-        catalog["databases"][name.lower()] = {}
-        self._save(catalog)
-
-    def drop_database(self, name: str, if_exists: bool = False) -> None:
-        catalog = self._ddl()
-        if catalog["databases"].pop(name.lower(), None) is None:
-            if if_exists:
-                return
-            raise TableError(BAD_DB, f"unknown database '{name}'")
-        self._save(catalog)
-
-    def use(self, name: str) -> None:
-        if name.lower() not in self._now()["databases"]:
-            raise TableError(BAD_DB, f"unknown database '{name}'")
-        self.database = name.lower()
-
-    def create_table(
-        self, name: str, columns: list[dict[str, Any]], keys: list[list[str]] | None = None, auto: str | None = None, if_not_exists: bool = False
-    ) -> None:
-        """``columns``: dicts with name, type, and optionally nullable, default."""
-        catalog = self._ddl()
-        tables = self._tables(catalog)
-        if name.lower() in tables:
-            if if_not_exists:
-                return
-            raise TableError(TABLE_EXISTS, f"table '{name}' exists")
-        tables[name.lower()] = {"columns": columns, "keys": keys or [], "auto": auto, "path": None, "stats": None}
-        self._save(catalog)
-
-    def drop_table(self, name: str, if_exists: bool = False) -> None:
-        catalog = self._ddl()
-        if self._tables(catalog).pop(name.lower(), None) is None:
-            if if_exists:
-                return
-            raise TableError(NO_TABLE, f"unknown table '{name}'")
-        self._save(catalog)
-
-    def add_column(self, table: str, column: dict[str, Any], after: str | None = None, first: bool = False) -> None:
-        catalog = self._ddl()
-        entry = self._entry(catalog, table)
-        rows = change.add_column(self._rows(entry), column["name"], column["type"], after, first)
-        order = {c["name"]: c for c in [*entry["columns"], column]}
-        entry["columns"] = [order[c] for c in rows.columns]
-        entry["path"] = self._write(table, rows)
-        self._save(catalog)
-
-    def drop_column(self, table: str, name: str) -> None:
-        catalog = self._ddl()
-        entry = self._entry(catalog, table)
-        if name not in [c["name"] for c in entry["columns"]]:
-            raise TableError(BAD_FIELD, f"unknown column '{name}'")
-        rows = change.drop_column(self._rows(entry), name)
-        entry["columns"] = [c for c in entry["columns"] if c["name"] != name]
-        entry["path"] = self._write(table, rows)
-        self._save(catalog)
-
-    def add_key(self, table: str, key: list[str]) -> None:
-        """A unique key; rows that break it already are an error."""
-        catalog = self._ddl()
-        entry = self._entry(catalog, table)
-        rows = self._rows(entry)
-        if not change.duplicate_keys(rows.limit(0), rows, key).isEmpty():
-            raise TableError(DUP_ENTRY, "duplicate entry")
-        entry["keys"].append(key)
-        self._save(catalog)
-
-    # rows
-
-    def _rows(self, entry: dict[str, Any]) -> DataFrame:
-        if entry["path"]:
-            return self.spark.read.parquet(entry["path"])
-        return self.spark.createDataFrame([], ", ".join(f"`{c['name']}` {c['type']}" for c in entry["columns"]))
-
-    def table(self, name: str) -> DataFrame:
-        return self._rows(self._entry(self._now(), name))
-
-    def _write(self, table: str, rows: DataFrame) -> str:
-        path = f"{self.root}/data/{self.database}/{table.lower()}/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return path
-
-    def _replace(self, table: str, build) -> int:
-        """Writes ``build(rows, entry)`` as the table's next version; the number of rows that it names."""
-        catalog = self._now()
-        entry = self._entry(catalog, table)
-        rows, affected = build(self._rows(entry), entry)
-        for c in entry["columns"]:
-            if c.get("nullable", True) is False and not rows.where(F.col(c["name"]).isNull()).isEmpty():
-                raise TableError(BAD_NULL, f"column '{c['name']}' cannot be null")
-        entry["path"] = self._write(table, rows)
-        if self._open is None:
-            self._save(catalog)
-        return affected
-
-    def insert(self, table: str, added: DataFrame) -> int:
-        """Rows by column name; missing columns take their default."""
-
-        def build(rows: DataFrame, entry: dict[str, Any]) -> tuple[DataFrame, int]:
-            new = added
-            for c in entry["columns"]:
-                if c["name"] not in new.columns and "default" in c:
-                    new = new.withColumn(c["name"], F.lit(c["default"]))
-            return change.insert(rows, new, entry["keys"], entry["auto"]), added.count()
-
-        try:
-            return self._replace(table, build)
-        except change.DuplicateKey as e:
-            raise TableError(DUP_ENTRY, str(e)) from e
-
-    def update(self, table: str, assign: dict[str, Column], where: Column | None = None) -> int:
-        def build(rows: DataFrame, entry: dict[str, Any]) -> tuple[DataFrame, int]:
-            hit = rows.count() if where is None else rows.where(where).count()
-            new = change.update(rows, assign, where)
-            for key in entry["keys"]:
-                if set(key) & set(assign) and not change.duplicate_keys(new.limit(0), new, key).isEmpty():
-                    raise TableError(DUP_ENTRY, "duplicate entry")
-            return new, hit
-
-        return self._replace(table, build)
-
-    def delete(self, table: str, where: Column | None = None) -> int:
-        return self._replace(table, lambda rows, _: (change.delete(rows, where), rows.count() if where is None else rows.where(where).count()))
-
-    def truncate(self, table: str) -> None:
-        catalog = self._ddl()
-        self._entry(catalog, table)["path"] = None
-        self._save(catalog)
-
-    # transactions
-
-    def begin(self) -> None:
-        """An open transaction is committed first."""
-        if self._open is not None:
-            self.commit()
-        self._open = self._load()
-        self._base = json.loads(json.dumps(self._open))
-
-    def commit(self) -> None:
-        if self._open is None:
-            raise TableError(NO_TXN, "no transaction is open")
-        mine, base, self._open = self._open, self._base, None
-        latest = self._load()
-        for database, tables in mine["databases"].items():
-            for name, entry in tables.items():
-                if entry == base["databases"][database][name]:
-                    continue
-                if latest["databases"].get(database, {}).get(name) != base["databases"][database][name]:
-                    raise TableError(CONFLICT, f"table '{name}' was changed meanwhile")
-                latest["databases"][database][name] = entry
-        self._save(latest)
-
-    def rollback(self) -> None:
-        self._open = None
-
-    # listings
-
-    def show_databases(self) -> DataFrame:
-        return self.spark.createDataFrame([(d,) for d in sorted(self._now()["databases"])], "Database string")
-
-    def show_tables(self) -> DataFrame:
-        return self.spark.createDataFrame([(t,) for t in sorted(self._tables(self._now()))], f"Tables_in_{self.database} string")
+from pyspark.sql import DataFrame, SparkSession
 
-    def describe(self, table: str) -> DataFrame:
-        """Field, Type, Null, Key (PRI, UNI, MUL), Default, Extra."""
-        entry = self._entry(self._now(), table)
-        keys = entry["keys"]
-        rows = []
-        for c in entry["columns"]:
-            primary = bool(keys) and c["name"] in keys[0]
-            unique = any(k == [c["name"]] for k in keys[1:])
-            mark = "PRI" if primary else "UNI" if unique else "MUL" if any(k[0] == c["name"] for k in keys[1:]) else ""
-            null = "NO" if primary or c.get("nullable", True) is False else "YES"
-            default = None if c.get("default") is None else str(c["default"])
-            rows.append((c["name"], c["type"], null, mark, default, "auto_increment" if entry["auto"] == c["name"] else ""))
-        return self.spark.createDataFrame(rows, "Field string, Type string, `Null` string, Key string, Default string, Extra string")
+from millrace.operators import relational as rel
 
-    def show_create(self, table: str) -> DataFrame:
-        """Table, Create Table: a statement that makes the same schema."""
-        entry = self._entry(self._now(), table)
-        parts = []
-        for c in entry["columns"]:
-            words = [f"`{c['name']}` {c['type']}"]
-            if c.get("nullable", True) is False:
-                words.append("NOT NULL")
-            if c.get("default") is not None:
-                words.append(f"DEFAULT '{c['default']}'")
-            if entry["auto"] == c["name"]:
-                words.append("AUTO_INCREMENT")
-            parts.append(" ".join(words))
-        for i, key in enumerate(entry["keys"]):
-            names = ", ".join(f"`{k}`" for k in key)
-            parts.append(f"UNIQUE KEY ({names})" if i else f"PRIMARY KEY ({names})")
-        body = ",\n  ".join(parts)
-        return self.spark.createDataFrame([(table, f"CREATE TABLE `{table}` (\n  {body}\n)")], "`Table` string, `Create Table` string")
 
-    def show_nothing(self, kind: str) -> DataFrame:
-        """SHOW VARIABLES, STATUS and WARNINGS: always empty."""
-        columns = {"variables": "Variable_name string, Value string", "status": "Variable_name string, Value string", "warnings": "Level string, Code int, Message string"}
-        return self.spark.createDataFrame([], columns[kind])
+class Tables:
+    """Tables of a folder by attribute."""
 
-    def explain(self, df: DataFrame) -> DataFrame:
-        """EXPLAIN: the physical plan as one row."""
-        plan = df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-        return self.spark.createDataFrame([(plan,)], "EXPLAIN string")
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-    def analyze(self, table: str) -> DataFrame:
-        """Column statistics, kept with the table."""
-        stats = statistics.column_statistics(self.table(table))
-        if self._open is None:
-            catalog = self._load()
-            self._entry(catalog, table)["stats"] = [r.asDict() for r in stats.collect()]  # one row a column
-            self._save(catalog)
-        return stats
+    def __getattr__(self, name: str) -> DataFrame:
+        return rel.scan(self.spark, f"{self.sf_dir}/{name}.parquet")

@@ -84,8 +84,26 @@ def test_changes(spark, left):
     assert change.drop_column(left, "v").columns == ["k"]
 
 
-def test_histogram_is_even(spark):
-    df = spark.range(1000).select((F.col("id") % 100).alias("v"))
-    h = rows(statistics.histogram(df, "v", 10))
-    assert sum(r[3] for r in h) == 1000 and sum(r[4] for r in h) == 100
-    assert max(r[3] for r in h) <= 130
+def test_partner_of_an_update_is_the_smallest(spark, left, right):
+    for rows_ in (right, right.orderBy(F.col("w").desc()).repartition(3)):
+        got = change.update_join(left, rows_.withColumnRenamed("j", "k"), ["k"], {"v": F.col("o_w")})
+        assert rows(got) == [(1, "x"), (2, "b"), (None, "c")]
+
+
+def test_numbers_are_given_once(spark):
+    old = rel.values(spark, [(7, "a")], "k int, v string")
+    new = spark.range(200).repartition(5).select(F.when(F.col("id") % 10 == 0, F.col("id") + 1000).cast("int").alias("k"), F.col("id").cast("string").alias("v"))
+    got = change.insert(old, new, [["k"]], auto="k").collect()
+    assert sorted(r.k for r in got if r.k < 1000) == [7, *range(8, 188)]
+
+
+@pytest.mark.parametrize("buckets", [10, 256])
+def test_histogram(spark, buckets):
+    values = sorted([k % 100 for k in range(1000)] + [7] * 3000)
+    df = rel.values(spark, [(v,) for v in values] + [(None,)], "v int").repartition(5)
+    want = {}
+    for v in sorted(set(values)):
+        last = max(k for k, x in enumerate(values) if x == v)
+        want.setdefault(last * buckets // len(values), []).append(v)
+    want = sorted((b, min(vs), max(vs), sum(map(values.count, vs)), values.count(max(vs)), len(vs)) for b, vs in want.items())
+    assert sorted(tuple(r) for r in statistics.histogram(df, "v", buckets).collect()) == want
