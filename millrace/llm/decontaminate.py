@@ -2,7 +2,8 @@
 
 Test windows are looked up by their rarest words: the index holds, for every word that is one of the
 rarest few of some window, its positions in all documents.  Posting lists shifted by the word's offset
-in the window are intersected, and what agrees is checked word by word.
+in the window are intersected, and what agrees is checked word by word: exact phrase matches.  Where the
+rarest words of a window stand close to each other, in any order, it is a proximity match.
 """
 
 from __future__ import annotations
@@ -10,24 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checked_broadcast, cut
+from millrace.llm.common import checked_broadcast, cut, split_words
 
-#: Words after lower-casing A-Z: runs of digits, a-z and anything beyond ASCII.
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before it.
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z are lower-cased: words are runs
+#: of digits, a-z and anything beyond ASCII.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NULL_KEY = -(1 << 63)
 _ID = ["id", "h"]
+#: The end of a document is indexed under one of so many marks; they start with a space, as no word does.
+_ENDS = 256
 
 
 def plain_words(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; none for null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
-
-
-def number_of_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")
+    # in pure ASCII the fast function does just that
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    return split_words(F.when(ascii_, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), _BETWEEN)
 
 
 def test_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -53,23 +53,29 @@ def _term(word: Column) -> Column:
 
 
 def rare_terms(rows: DataFrame, windows: DataFrame, rarest: int) -> DataFrame:
-    """(window, nth, term, offset, n_terms): the ``rarest`` positions of each window whose words are found
-    least often in ``rows``, rarest first."""
+    """(window, nth, word, term, offset, n_terms): the ``rarest`` positions of each window whose words are
+    found least often in ``rows``, rarest first."""
     placed = windows.select("window", F.posexplode("terms").alias("offset", "word")).select("window", "offset", "word")
     vocabulary = cut(placed.select("word").distinct())
     found = rows.select(F.explode(plain_words(F.col("text"))).alias("word")).join(checked_broadcast(vocabulary, 64), "word", "left_semi")
-    placed = placed.join(found.groupBy("word").count(), "word", "left").fillna(0, ["count"])
+    # at most one row a word of the benchmark
+    counts = cut(found.groupBy("word").count())
+    placed = placed.join(checked_broadcast(counts, 80), "word", "left").fillna(0, ["count"])
     order = Window.partitionBy("window").orderBy("count", "word", "offset")
     picked = placed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rarest)
     n_terms = F.count(F.lit(1)).over(Window.partitionBy("window"))
     return picked.select("window", "nth", "word", _term(F.col("word")).alias("term"), "offset", n_terms.alias("n_terms"))
 
 
-def positional_index(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """(term, id, h, pos): every position (from 0) of every word of ``words`` (word) in ``rows``."""
-    placed = rows.select("id", "h", F.posexplode(plain_words(F.col("text"))).alias("pos", "word"))
-    kept = placed.join(checked_broadcast(cut(words.select("word").distinct()), 64), "word", "left_semi")
-    return kept.select(_term(F.col("word")).alias("term"), "id", "h", "pos")
+def positional_index(rows: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths): (term, id, h, pos) of every position (from 0) of every word of ``words`` (word)
+    in ``rows``, and (id, h, n_words) of every row, from one pass over the texts."""
+    marks = words.sparkSession.range(_ENDS).select(F.concat(F.lit(" "), F.col("id").cast("string")).alias("word"))
+    mark = F.concat(F.lit(" "), F.pmod(F.xxhash64("id", "h"), F.lit(_ENDS)).cast("string"))
+    placed = rows.select("id", "h", F.posexplode(F.concat(plain_words(F.col("text")), F.array(mark))).alias("pos", "word"))
+    kept = placed.join(checked_broadcast(cut(words.select("word").distinct().union(marks)), 64), "word", "left_semi")
+    kept = cut(kept.select(F.when(~F.col("word").startswith(" "), _term(F.col("word"))).alias("term"), "id", "h", "pos"))
+    return kept.where(F.col("term").isNotNull()), kept.where(F.col("term").isNull()).select("id", "h", F.col("pos").cast("long").alias("n_words"))
 
 
 def exact_matches(rows: DataFrame, index: DataFrame, anchors: DataFrame, windows: DataFrame, rarest: int) -> DataFrame:
@@ -92,56 +98,81 @@ def exact_matches(rows: DataFrame, index: DataFrame, anchors: DataFrame, windows
     return texts.dropDuplicates(_ID).join(found, _ID).where(same).select(*_ID, "window", "start", F.size("terms").alias("length"))
 
 
-def near_matches(index: DataFrame, anchors: DataFrame, within: int = 20) -> DataFrame:
-    """(id, h, window, pos): the rarest word of a window at ``pos`` with each of its other chosen words
-    not more than ``within`` words away, in any order."""
-    anchors = cut(anchors)
-    first = index.join(checked_broadcast(anchors.where("nth = 1"), 128), "term").select(*_ID, "window", F.col("pos").alias("at"), "n_terms")
-    first = first.withColumn("slot", F.explode(F.array(*[F.floor(F.col("at") / within) + d for d in (-1, 0, 1)])))
-    others = index.join(checked_broadcast(anchors.where("nth > 1"), 128), "term").select(*_ID, "window", "pos", "nth")
-    others = others.withColumn("slot", F.floor(F.col("pos") / within))
-    close = first.join(others, [*_ID, "window", "slot"]).where(F.abs(F.col("pos") - F.col("at")) <= within)
-    # without other words the first is enough
-    alone = first.where("n_terms = 1").select(*_ID, "window", F.col("at").alias("pos")).distinct()
-    full = close.groupBy(*_ID, "window", "at", "n_terms").agg(F.count_distinct("nth").alias("n")).where("n = n_terms - 1")
-    return full.select(*_ID, "window", F.col("at").alias("pos")).union(alone)
+def near_matches(index: DataFrame, anchors: DataFrame, chosen: int, within: int = 20) -> DataFrame:
+    """(id, h, window): documents where each of a window's ``chosen`` rarest words (all, if it has fewer)
+    stands within ``within`` words of one place of the rarest one, in any order.
+
+    Places are cut into stretches of ``within`` words, so a place meets only those of three stretches.
+    """
+    few = checked_broadcast(anchors.where("nth = 1").select("window", "term", "n_terms"), 64)
+    places = index.join(few, "term").select(*_ID, "window", F.col("pos").alias("at"), "n_terms")
+    for nth in range(2, chosen + 1):
+        further = checked_broadcast(anchors.where(F.col("nth") == nth).select("window", F.col("term").alias("next")), 64)
+        asked = places.join(further, "window").withColumn("stretch", F.explode(F.array(*[F.floor(F.col("at") / within) + d for d in (-1, 0, 1)])))
+        met = index.select(*_ID, F.col("term").alias("next"), F.floor(F.col("pos") / within).alias("stretch"), "pos")
+        # a stretch holds no more than ``within`` places
+        met = met.groupBy(*_ID, "next", "stretch").agg(F.collect_set("pos").alias("spots"))
+        close = asked.join(met, [*_ID, "next", "stretch"]).where(F.exists("spots", lambda p: F.abs(p - F.col("at")) <= within))
+        places = close.select(places.columns).distinct().union(places.where(F.col("n_terms") < nth))
+    return places.select(*_ID, "window").distinct()
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, rarest: int = 2
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    size: int = 10,
+    rarest: int = 2,
+    chosen: int = 3,
+    within: int = 20,
 ) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items, contaminated) for every row of ``docs``; ``key`` is an integer.
+    """(key, n_words, n_hit, n_items, items, near_items, contaminated) for every row of ``docs``; ``key`` is
+    an integer.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  Windows are ``size`` consecutive
     words of an item, or a whole item with fewer words.  ``n_hit`` counts the words of the document that
     lie inside an occurrence of a window, ``items`` lists the items with windows there (as strings, in
-    code-point order).
+    code-point order).  ``near_items`` lists the items with a window whose ``chosen`` rarest words stand
+    within ``within`` words of one place of the rarest one; rarer is less often in all of ``docs``, ties by
+    word and then by place in the window.  ``contaminated`` regards exact occurrences alone.
 
-    ``rarest`` words a window are indexed.  Every document, word and window counts; word frequencies are
-    those of the whole input.
+    The ``rarest`` words of a window are intersected.  Every document, word and window counts; word
+    frequencies are those of the whole input.
 
-    Null texts have no words and no hits; items without words, or null, have no windows.  Repeated rows
-    get equal answers; rows that share a key but not the text are judged apart.  Empty tables give empty
-    results or no hits.  Other columns of either table are not read.
+    Null and empty texts have no words and no hits; items without words, or null, have no windows.  A very
+    long text is a row like any other; its words are in memory once while it is split.  Repeated rows get
+    equal answers; rows that share a key, or have none, but differ in text are judged apart.  Empty tables
+    give empty results or no hits.  Other columns of either table are not read.
     """
     rows = identified(docs, key, text)
     windows, items = test_windows(benchmark, item, item_text, size)
     windows, items = cut(windows), cut(items)
-    anchors = cut(rare_terms(rows, windows, rarest))
-    index = cut(positional_index(rows, anchors))
+    anchors = cut(rare_terms(rows, windows, max(rarest, chosen)))
+    index, lengths = positional_index(rows, anchors)
     hits = cut(exact_matches(rows, index, anchors, windows, rarest))
     covered = hits.select(*_ID, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
     covered = covered.groupBy(*_ID).agg(F.count(F.lit(1)).alias("n_hit"))
-    named = hits.select(*_ID, "window").distinct().join(items, "window").select(*_ID, "item").distinct()
-    named = named.groupBy(*_ID).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    found = covered.join(named, _ID)
-    out = rows.select(*_ID, number_of_words(F.col("text")).alias("n_words")).join(found, _ID, "left")
+
+    def listed(found: DataFrame, name: str) -> DataFrame:
+        """Items of each document; no list is longer than the benchmark."""
+        named = found.join(checked_broadcast(items, 96), "window").select(*_ID, "item").distinct()
+        return named.groupBy(*_ID).agg(F.array_sort(F.collect_list("item")).alias(name))
+
+    exact = listed(hits.select(*_ID, "window").distinct(), "items")
+    near = listed(near_matches(index, anchors, chosen, within), "near_items")
+    found = covered.join(exact, _ID).join(near, _ID, "full")
+    out = lengths.join(found, _ID, "left")
     back = F.when(F.col("id") != _NULL_KEY, F.col("id")).cast(docs.schema[key].dataType)
+    none = F.array().cast("array<string>")
     return out.select(
         back.alias(key),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("items", none).alias("items"),
+        F.coalesce("near_items", none).alias("near_items"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )

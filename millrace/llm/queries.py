@@ -65,7 +65,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated", F.size("near_items").cast("long").alias("n_near"))
 
 
 _OP4_SQL = r"""
@@ -84,10 +85,23 @@ dw AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n)),
 hit AS (SELECT dw.doc_id, dw.s, dw.n, win.item FROM dw JOIN win ON dw.win = win.win AND dw.n = win.n),
 cov AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+term AS (
+  SELECT win, n, k, w[k] AS word FROM (SELECT win, n, w, unnest(range(1, n + 1)) AS k FROM (SELECT DISTINCT win, n, string_split(win, ' ') AS w FROM win))),
+pos AS (SELECT doc_id, k, w[k] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d) WHERE w[k] IN (SELECT word FROM term)),
+freq AS (SELECT word, count(*) AS c FROM pos GROUP BY word),
+chosen AS (
+  SELECT * FROM (SELECT win, n, term.word, row_number() OVER (PARTITION BY win ORDER BY coalesce(c, 0), term.word, k) AS nth
+                 FROM term LEFT JOIN freq ON term.word = freq.word) WHERE nth <= 3),
+one AS (SELECT doc_id, win, n, k AS place FROM pos JOIN chosen ON pos.word = chosen.word WHERE nth = 1),
+two AS (SELECT DISTINCT one.* FROM one JOIN chosen c ON c.win = one.win AND c.nth = 2 JOIN pos ON pos.word = c.word AND pos.doc_id = one.doc_id WHERE abs(pos.k - place) <= 20
+        UNION SELECT * FROM one WHERE n < 2),
+three AS (SELECT DISTINCT two.* FROM two JOIN chosen c ON c.win = two.win AND c.nth = 3 JOIN pos ON pos.word = c.word AND pos.doc_id = two.doc_id WHERE abs(pos.k - place) <= 20
+          UNION SELECT * FROM two WHERE n < 3),
+near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM three JOIN win ON win.win = three.win GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN it ON d.doc_id = it.doc_id LEFT JOIN near ON d.doc_id = near.doc_id
 """
 
 

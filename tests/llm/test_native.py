@@ -131,13 +131,39 @@ def test_decontaminate_nothing(docs, small, nothing, benchmark):
     assert len(clean) == len(small) and not any(r.contaminated or r.n_items for r in clean)
 
 
-def test_near_matches(spark):
-    docs = spark.createDataFrame([(1, "x alpha filler beta y"), (2, "beta z z alpha"), (3, "alpha " + "z " * 30 + "beta"), (4, "alpha alone")], "doc_id long, text string")
-    rows = d.identified(docs, "doc_id", "text")
-    windows, _ = d.test_windows(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"), size=10)
-    anchors = d.rare_terms(rows, windows, 2)
-    index = d.positional_index(rows, anchors)
-    assert {r.id for r in d.near_matches(index, anchors, within=5).collect()} == {1, 2}
+def near(docs, items, size, chosen, within):
+    """Items with a window whose rarest words stand close to one place of the rarest, per document."""
+    counts = Counter(x for _, t in docs for x in plain(t))
+    windows = defaultdict(set)
+    for i, text in items:
+        w = plain(text)
+        for k in range(max(1, len(w) - size + 1)) if w else ():
+            windows[tuple(w[k : k + size])].add(str(i))
+    picked = {x: [w for _, w, _ in sorted((counts[w], w.encode(), k) for k, w in enumerate(x))[:chosen]] for x in windows}
+    for i, text in docs:
+        places = defaultdict(list)
+        for k, x in enumerate(plain(text)):
+            places[x.encode()].append(k)
+        found = set()
+        for x, (first, *others) in picked.items():
+            if any(all(any(abs(p - at) <= within for p in places[o]) for o in others) for at in places[first]):
+                found |= windows[x]
+        yield i, sorted(found)
+
+
+@pytest.mark.parametrize("chosen, within", [(3, 20), (4, 6), (1, 5)])
+def test_near_matches(spark, docs, small, benchmark, chosen, within):
+    items, table = benchmark
+    got = sorted(((r.doc_id, list(r.near_items)) for r in d.decontaminate(docs, table, chosen=chosen, within=within).collect()), key=str)
+    want = sorted(near([(i, t) for i, t, _ in small], items, 10, chosen, within), key=str)
+    assert got == want and sum(bool(x) for _, x in want) > 5
+
+
+def test_near_matches_in_any_order(spark):
+    texts = [(1, "x alpha filler beta y"), (2, "beta z z alpha"), (3, "alpha " + "z " * 30 + "beta"), (4, "alpha alone")]
+    out = d.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"), within=5)
+    assert {r.doc_id for r in out.collect() if r.near_items} == {1, 2}
+    assert not any(r.contaminated for r in out.collect())
 
 
 def moment(day, hour=0):
