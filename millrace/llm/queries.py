@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.langid import identify_language
-from millrace.llm.mixing import mix_sources
+from millrace.llm.mixing import clean_text_weight, mix_sources
 from millrace.llm.ngram_join import ngram_jaccard_join
 from millrace.llm.pu import classify_quality
 from millrace.llm.quality_rules import apply_rules, fit_rules
@@ -110,7 +110,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+    return mix_sources(table(spark, sf_dir, "documents"), weight=clean_text_weight(F.col("text"))).drop("copies")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

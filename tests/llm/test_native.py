@@ -1,6 +1,7 @@
 """Sharding, mixing, decontamination and URL filters against brute force."""
 
 import datetime
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as d
-from millrace.llm.mixing import mix_sources
+from millrace.llm.common import word_count
+from millrace.llm.mixing import clean_text_weight, mix_sources
 from millrace.llm.sharding import assign_shards, jump_hash
 from millrace.llm.urlfilter import filter_urls, url_keys
 
@@ -63,21 +65,71 @@ def targets(rows, share=1.5, cap=2.0):
     return sizes, out
 
 
-@pytest.mark.parametrize("weight", [None, "n_chars"])
-def test_mix(docs, small, weight):
-    got = mix_sources(docs, weight=weight, buckets=16).collect()
-    again = mix_sources(docs.repartition(2), weight=weight, buckets=16).collect()
+def level(want, sized, cap=2.0):
+    """c with sum of size * min(c * w, cap) = want, by halving."""
+    low, high = 0.0, 1e9
+    if want >= cap * sum(s for s, _ in sized) * (1 - 1e-12):
+        return math.inf
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(s * min(c * w, cap) for s, w in sized) < want else (low, c)
+    return low
+
+
+def pareto(rows, want, cap=2.0):
+    """Copies of each (key, draw) by plain order sampling: in order of rank whatever still fits."""
+    taken = defaultdict(list)
+    for source, target in want.items():
+        own = [r for r in rows if r.source == source]
+        c = level(target, [(r.size, r.w) for r in own], cap)
+        room, ranked = target, []
+        for r in own:
+            expected = min(c * r.w, cap) if r.w else 0.0
+            whole = math.floor(expected)
+            room -= r.size * whole
+            p = expected - whole
+            u = ((r.draw % (1 << 64) >> 11) + 0.5) / (1 << 53)
+            ranked.append(((u / (1 - u) * (1 - p) / p) if p > 0 else math.inf, r, whole))
+        for rank, r, whole in sorted(ranked, key=lambda x: (x[0], x[1].draw, x[1].key or -1)):
+            fits = rank < math.inf and r.size <= room
+            room -= r.size * fits
+            taken[r.key, r.size].append(whole + fits)
+        assert room >= -1e-3
+    return {k: sorted(v) for k, v in taken.items()}
+
+
+@pytest.mark.parametrize("weight, buckets", [(None, 16), ("clean", 16), ("chars", 3), ("odd", None)])
+def test_mix(docs, small, weight, buckets):
+    w = {None: None, "clean": clean_text_weight(F.col("text")), "chars": F.col("n_chars"), "odd": F.when(F.col("doc_id") % 3 == 0, float("nan")).when(F.col("doc_id") % 3 == 1, 1e-9)}[weight]
+    got = mix_sources(docs, weight=w, buckets=buckets).collect()
+    again = mix_sources(docs.repartition(2), weight=w, buckets=buckets).collect()
     assert Counter(got) == Counter(again)
     sizes, want = targets(small)
     assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, _ in small)
-    taken = defaultdict(int)
     for r in got:
         source = next(s for s in want if sizes[s] == r.source_size)
-        assert r.target == pytest.approx(want[source]) and r.taken <= 2 * r.size
-        taken[source] += r.taken
-    if weight is None:
-        for s in want:
-            assert abs(taken[s] - want[s]) <= 0.05 * want[s] + 30  # whole copies: one text has 9000 words
+        assert r.target == pytest.approx(want[source]) and r.taken == r.copies * r.size <= 2 * r.size
+    seen = F.lit(1.0) if w is None else F.greatest(F.least(F.coalesce(F.nanvl(w.cast("double"), F.lit(1.0)), F.lit(1.0)), F.lit(1e6)), F.lit(1e-6))
+    facts = docs.select(F.col("doc_id").alias("key"), word_count(F.col("text")).alias("size"), "source", seen.alias("w"), F.xxhash64("doc_id", "text", F.lit(17)).alias("draw")).collect()
+    mine = defaultdict(list)
+    for r in got:
+        mine[r.doc_id, r.size].append(r.copies)
+    assert {k: sorted(v) for k, v in mine.items()} == pareto(facts, want)
+    assert len({r.copies for r in got}) > 1
+
+
+def test_weighted_targets_are_met(spark):
+    """One text of each source may be missing at most, though the heaviest documents are cut off at twice."""
+    rows = [(k, "w " * (1 + k % 40 + k % 3), f"s{k % 3}", 1.0 + 50 * (k % 11 == 0)) for k in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
+    got = mix_sources(table, weight=F.col("weight")).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert len(target) == 3 and all(0 <= target[s] - taken[s] <= 3 for s in target)
+    heavy = [r for r in got if r.doc_id % 11 == 0]
+    assert sum(r.copies == 2 for r in heavy) > 0.9 * len(heavy)
 
 
 def test_mix_of_nothing(nothing):
