@@ -144,8 +144,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The pages carry no fetch time and come with no list, so both are derived from them: a page is
-#: fetched page_id * 7919 s into a year, wrapped; a fetch that meets symbol noise puts the page's host
-#: on the list one day later, and every page_id divisible by 5 without noise takes it off.
+#: fetched page_id * 7919 s into a year, wrapped; a fetch that meets symbol noise puts a key of the page on
+#: the list one day later, and every page_id divisible by 5 without noise takes its key off.  The key is,
+#: by page_id mod 3, the host, the domain above it, or the host with the first segment of the path.
 _YEAR = 31_536_000
 _NOISE = "%$$$%"
 
@@ -159,8 +160,11 @@ def _captures(pages: DataFrame) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _captures(table(spark, sf_dir, "pages"))
     dated = pages.where(F.col("noisy") | (F.col("page_id") % 5 == 0))
+    host, third = url_host(F.col("url")), F.col("page_id") % 3
+    above = F.when(host.rlike(r"\..*\."), F.regexp_replace(host, r"^[^.]*\.", "")).otherwise(host)
+    folder = F.concat(host, F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)", 1))
     entries = dated.select(
-        url_host(F.col("url")).alias("key"), (F.col("fetched") + F.expr("INTERVAL 1 DAY")).alias("at"), F.col("noisy").cast("int").alias("listed")
+        F.when(third == 0, host).when(third == 1, above).otherwise(folder).alias("key"), (F.col("fetched") + F.expr("INTERVAL 1 DAY")).alias("at"), F.col("noisy").cast("int").alias("listed")
     )
     out = filter_urls(pages.select("page_id", "url", "fetched"), entries)
     micros = F.unix_micros
@@ -170,16 +174,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP10_SQL = r"""
 WITH p AS (
   SELECT page_id, url, html LIKE '%$$$%' AS noisy, 1704067200 + (page_id * 7919) % 31536000 AS t,
-         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1) AS host
+         nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '') AS host,
+         string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), '/') AS seg
   FROM pages),
-e AS (SELECT host AS key, t + 86400 AS valid_from, max(CASE WHEN noisy THEN 1 ELSE 0 END) AS listed
-      FROM p WHERE (noisy OR page_id % 5 = 0) AND host <> '' GROUP BY 1, 2),
-iv AS (SELECT key, valid_from, listed, lead(valid_from) OVER (PARTITION BY key ORDER BY valid_from) AS valid_to FROM e),
-hit AS (SELECT p.page_id, iv.key, iv.valid_from FROM p JOIN iv ON p.host = iv.key
-        AND p.t >= iv.valid_from AND (iv.valid_to IS NULL OR p.t < iv.valid_to) WHERE iv.listed = 1)
-SELECT p.page_id, hit.key IS NOT NULL AS blocked, CAST(CASE WHEN hit.key IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_rules,
-       hit.key AS rule, CAST(hit.valid_from AS BIGINT) AS listed_since_s
-FROM p LEFT JOIN hit ON p.page_id = hit.page_id
+own AS (
+  SELECT page_id, host AS key FROM p WHERE host IS NOT NULL
+  UNION SELECT page_id, array_to_string(l[k:], '.') FROM (SELECT page_id, string_split(host, '.') AS l, unnest(range(2, len(string_split(host, '.')))) AS k FROM p WHERE host IS NOT NULL)
+  UNION SELECT page_id, host || array_to_string(seg[1:k], '/') FROM (SELECT page_id, host, seg, unnest(range(2, len(seg) + 1)) AS k FROM p WHERE host IS NOT NULL) WHERE seg[k] <> ''),
+e AS (
+  SELECT CASE page_id % 3 WHEN 0 THEN host WHEN 1 THEN CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[2:], '.') ELSE host END
+         ELSE host || CASE WHEN len(seg) > 1 AND seg[2] <> '' THEN '/' || seg[2] ELSE '' END END AS key,
+         t + 86400 AS valid_from, CASE WHEN noisy THEN 1 ELSE 0 END AS listed
+  FROM p WHERE (noisy OR page_id % 5 = 0) AND host IS NOT NULL),
+one AS (SELECT key, valid_from, max(listed) AS listed FROM e GROUP BY 1, 2),
+iv AS (SELECT key, valid_from, listed, lead(valid_from) OVER (PARTITION BY key ORDER BY valid_from) AS valid_to FROM one),
+hit AS (
+  SELECT p.page_id, iv.key, iv.valid_from, row_number() OVER (PARTITION BY p.page_id ORDER BY length(iv.key) DESC, iv.key DESC) AS nth, count(*) OVER (PARTITION BY p.page_id) AS n
+  FROM p JOIN own ON own.page_id = p.page_id JOIN iv ON own.key = iv.key AND p.t >= iv.valid_from AND (iv.valid_to IS NULL OR p.t < iv.valid_to) WHERE iv.listed = 1)
+SELECT p.page_id, hit.key IS NOT NULL AS blocked, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_rules, hit.key AS rule, CAST(hit.valid_from AS BIGINT) AS listed_since_s
+FROM p LEFT JOIN hit ON p.page_id = hit.page_id AND nth = 1
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -43,6 +43,22 @@ def _slot(at: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
+def _nearest(rows: DataFrame, order: Column, block: int = 64) -> DataFrame:
+    """(key, slot, value) with ``nearest``: the value of the last row before it of its key, by ``order`` (a
+    whole number), that has one.
+
+    Rows are put in order inside blocks of ``block`` slots, and blocks by one row each, so a key with rows
+    in very many slots is not ordered in one place.
+    """
+    at = rows.withColumn("__at", order).withColumn("__block", F.floor(F.col("__at") / block))
+    inside = Window.partitionBy("key", "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("__in", F.last("value", ignorenulls=True).over(inside))
+    ends = at.groupBy("key", "__block").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("__at"))).alias("end"))
+    across = Window.partitionBy("key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("key", "__block", F.last("end", ignorenulls=True).over(across).alias("__end"))
+    return at.join(ends, ["key", "__block"]).select("key", "slot", "value", F.coalesce("__in", "__end").alias("nearest"))
+
+
 def validity_intervals(entries: DataFrame, key: str, at: str, listed: str, slot_seconds: int = 6 * 3600) -> DataFrame:
     """(key, valid_from, valid_to, listed): each entry holds from its date to the next later one of its key.
 
@@ -52,8 +68,8 @@ def validity_intervals(entries: DataFrame, key: str, at: str, listed: str, slot_
     """
     e = entries.select(entries[key].alias("key"), entries[at].alias("valid_from"), entries[listed].cast("int").alias("listed")).na.drop()
     e = e.groupBy("key", "valid_from").agg(F.max("listed").alias("listed")).withColumn("slot", _slot(F.col("valid_from"), slot_seconds))
-    starts = e.groupBy("key", "slot").agg(F.min("valid_from").alias("start"))
-    after = starts.select("key", "slot", F.lead("start").over(Window.partitionBy("key").orderBy("slot")).alias("beyond"))
+    starts = e.groupBy("key", "slot").agg(F.min("valid_from").alias("value"))
+    after = _nearest(starts, -F.col("slot")).select("key", "slot", F.col("nearest").alias("beyond"))
     inside = F.lead("valid_from").over(Window.partitionBy("key", "slot").orderBy("valid_from"))
     e = e.withColumn("inside", inside).join(after, ["key", "slot"])
     return e.select("key", "slot", "valid_from", F.coalesce("inside", "beyond").alias("valid_to"), "listed")
@@ -82,9 +98,10 @@ def filter_urls(
     slot, at most one row per key and slot.  So neither a host with a third of the captures nor a key
     with very many entries is ordered in one task, and work is linear in both.
 
-    Null or malformed URLs and null fetch times match nothing.  Repeated captures are judged one by
-    one.  Empty lists block nothing; no captures give no rows.  Columns named like the added ones are
-    replaced.
+    Null, empty or malformed URLs and null fetch times match nothing; a very long URL has as many keys as
+    it has dots and slashes.  Of entries with one key and date a listing wins, and an entry dated at the
+    moment of a fetch is active.  Repeated captures are judged one by one.  Empty lists block nothing; no
+    captures give no rows.  Columns named like the added ones are replaced, all others are returned.
     """
     spans = validity_intervals(entries, key, at, listed, slot_seconds)
     row = "__capture"
@@ -97,9 +114,8 @@ def filter_urls(
 
     last = spans.groupBy("key", "slot").agg(F.max_by(span, "valid_from").alias("last"))
     slots = last.unionByName(probes.select("key", "slot").distinct(), allowMissingColumns=True)
-    slots = slots.groupBy("key", "slot").agg(F.max("last").alias("last"))
-    earlier = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slots.select("key", "slot", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    slots = slots.groupBy("key", "slot").agg(F.max("last").alias("value"))
+    carried = _nearest(slots, F.col("slot")).select("key", "slot", F.col("nearest").alias("carried"))
 
     line = spans.select("key", "slot", F.col("valid_from").alias("t"), F.lit(0).alias("order"), F.lit(None).cast("string").alias("url"), span.alias("span"))
     line = line.unionByName(probes.select("key", "slot", "t", F.lit(1).alias("order"), "url"), allowMissingColumns=True)

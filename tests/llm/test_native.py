@@ -30,6 +30,49 @@ def test_shards(docs, small):
     assert all(len(s) == 1 for s in by_key.values())
 
 
+def walked(spark, keys, shards):
+    """The jump walk with xxhash64(key, step) as its draws, one key at a time, as the paper gives it."""
+    drawn = {r.k: r.d for r in spark.createDataFrame([(k,) for k in keys], "k long").select("k", F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: F.xxhash64("k", i)).alias("d")).collect()}
+    out = {}
+    for k, draws in drawn.items():
+        at, onward = -1, 0
+        for d in draws:
+            if onward >= shards:
+                break
+            at = onward
+            onward = math.floor((at + 1) * (float(1 << 31) / ((d % (1 << 64) >> 33) + 1)))
+        out[k] = at
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 2, 8, 9, 500])
+def test_jump_walk(spark, shards):
+    keys = [None, *range(-50, 400), 2**62]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", jump_hash(F.col("k"), shards).alias("s")).collect()
+    assert {r.k: r.s for r in got} == walked(spark, keys, shards)
+
+
+def test_a_walk_beyond_the_usual_steps(spark, monkeypatch):
+    keys = list(range(300))
+    want = walked(spark, keys, 64)
+    monkeypatch.setattr("millrace.llm.sharding.min", lambda *a: 2, raising=False)
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", jump_hash(F.col("k"), 64).alias("s")).collect()
+    assert {r.k: r.s for r in got} == want
+
+
+def test_shards_of_equal_rows(spark):
+    """One key with many texts, and rows equal in both, take gapless slots; the order hangs on the rows alone."""
+    rows = [(None, f"t{k}") for k in range(300)] + [(7, "same")] * 500 + [(7, None), (7, ""), (8, "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [assign_shards(df.repartition(n), shards=3, buckets=b, chunk=64).collect() for n, b in ((1, 8), (5, 8), (2, None))]
+    assert Counter(runs[0]) == Counter(runs[1])
+    for got in runs:
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+        for shard in {r.shard for r in got}:
+            slots = sorted(r.slot for r in got if r.shard == shard)
+            assert slots == list(range(len(slots)))
+
+
 def test_shards_of_nothing(nothing):
     assert assign_shards(nothing).collect() == []
 
