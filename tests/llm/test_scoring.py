@@ -4,12 +4,14 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import SF
+from pyspark.sql import functions as F
 
 from millrace.llm import boosting, docstats, langid, pu, queries, quality_rules, tokencount
 from millrace.llm.wordhash import slices
@@ -118,20 +120,98 @@ def test_positive_unlabelled_separates():
     assert (score[600:1500] > 0.5).mean() > 0.93 and (score[1500:] < 0.5).mean() > 0.8
 
 
-def test_risk_gradient():
+@pytest.mark.parametrize("prior", [0.5, 0.98])
+def test_risk_gradient(prior):
+    """Of the risk where that of negatives is above 0, else of the opposite of the risk of negatives."""
     rng = np.random.default_rng(2)
-    x, positive = rng.normal(0, 1, (200, len(docstats.FEATURES))), rng.random(200) < 0.3
+    x = rng.normal(0, 1, (200, len(docstats.FEATURES)))
+    positive = x[:, 0] > 0.5
     knots = np.quantile(x, pu.KNOTS, axis=0).T
     w = 0.01 * rng.normal(size=1 + knots.size)
+    w[1 : 1 + knots.shape[1]] += prior > 0.9  # scores of positives well above the others
 
     def at(v):
-        return pu.risk(pu.sums(x, positive, knots, v), v, 0.5, 1e-2)
+        return pu.risk(pu.sums(x, positive, knots, v), v, prior, 1e-2)
 
-    value, g = at(w)
+    value, g, negative = at(w)
+    assert (negative < 0) == (prior > 0.9)
     for k in (0, 5, 77):
         e = np.zeros(len(w))
         e[k] = 1e-5
-        assert (at(w + e)[0] - at(w - e)[0]) / 2e-5 == pytest.approx(g[k], abs=1e-5)
+        up, down = at(w + e), at(w - e)
+        change = up[0] - down[0] if negative >= 0 else down[2] - up[2]
+        assert change / 2e-5 == pytest.approx(g[k], abs=1e-5)
+
+
+def test_minimum_comes_back_from_a_negative_risk():
+    """Corrections raise the risk of negatives again, and the best point of all is returned."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (300, len(docstats.FEATURES)))
+    positive = x[:, 0] > 0.3
+    knots = np.quantile(x, pu.KNOTS, axis=0).T
+    seen = []
+
+    def at(w):
+        out = pu.risk(pu.sums(x, positive, knots, w), w, 0.9, 1e-3)
+        seen.append(out)
+        return out
+
+    w = pu.minimise(at, np.zeros(1 + knots.size), 40)
+    assert any(a[2] < 0 <= b[2] for a, b in itertools.pairwise(seen))
+    assert at(w)[0] == pytest.approx(min(v for v, _, _ in seen))
+
+
+def test_best_bin():
+    rng = np.random.default_rng(6)
+    for prior in (0.2, 0.6, 0.9):
+        n = 200_000
+        good, bad = rng.beta(5, 2, n), rng.beta(2, 5, n)
+        mixed = np.concatenate([good[: int(prior * n)], bad[: n - int(prior * n)]])
+        counts = [np.histogram(v, np.linspace(0, 1, 1001))[0] for v in (rng.beta(5, 2, n), mixed)]
+        assert prior - 0.06 < pu.best_bin(*counts) <= prior + 0.01
+    assert pu.best_bin(np.zeros(10), np.ones(10)) == 0.02
+
+
+def numpy_scores(spark, docs, positives, passes=24, penalties=(1e-4, 1e-3, 1e-2)):
+    """The whole fit over one matrix: order of rows and halves by the hashes of the operator, all else plain."""
+    facts = docstats.scored_statistics(docs, "doc_id", "text").select("doc_id", "features")
+    place = F.xxhash64("doc_id", "features")
+    rows = facts.select("doc_id", "features", place.alias("place"), F.pmod(F.xxhash64(place), F.lit(2)).alias("half")).collect()
+    rows.sort(key=lambda r: r.place)
+    x, half = np.array([r.features for r in rows]), np.array([r.half for r in rows])
+    positive = np.array([r.doc_id in positives for r in rows])
+    ordered = np.sort(x, axis=0)
+    knots = np.array([[ordered[max(math.ceil(q * len(x)) - 1, 0), f] for q in pu.KNOTS] for f in range(x.shape[1])])
+    parts = [(np.vstack([x[(half == h) & positive], x[half == h]]), np.repeat([True, False], [((half == h) & positive).sum(), (half == h).sum()])) for h in (0, 1)]
+
+    def case(k, w):
+        px, pp = parts[k]
+        return np.concatenate([pu.sums(px[~pp], pp[~pp], knots, w)[: 2 + len(w)], pu.sums(px[pp], pp[pp], knots, w)[2 + len(w) :]])
+
+    def halves(objective):
+        return [pu.minimise(lambda w, k=k: objective(case(k, w), w), np.zeros(1 + knots.size), passes) for k in (0, 1)]
+
+    models = halves(lambda t, w: pu.apart(t, w, 1e-2))
+    score = np.array([pu.sigmoid(pu.steps(v[None], knots) @ models[1 - h])[0] for v, h in zip(x, half, strict=True)])
+    bins = np.minimum((score * 1000).astype(int), 999)
+    prior = pu.best_bin(np.bincount(bins[positive], minlength=1000), np.bincount(bins, minlength=1000))
+
+    def unseen(l2):
+        return sum(pu.risk(case(1 - k, w), w, prior, 0.0)[0] for k, w in enumerate(halves(lambda t, w: pu.risk(t, w, prior, l2))))
+
+    l2 = min(penalties, key=unseen)
+    w = pu.minimise(lambda w: pu.risk(pu.sums(x, positive, knots, w), w, prior, l2), np.zeros(1 + knots.size), passes)
+    return {r.doc_id: s for r, s in zip(rows, pu.sigmoid(pu.steps(x, knots) @ w), strict=True)}
+
+
+def test_quality_query_equals_a_plain_fit(spark):
+    """op1 against numpy over the same rows; labels of held-out rows, and all labels 0, change nothing."""
+    got = {r.doc_id: r for r in queries.op1_quality_classifier(spark, SF).collect()}
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in got}
+    positives = {r.doc_id for r in labels.collect() if r.quality == 1 and not held[r.doc_id]}
+    want = numpy_scores(spark, docs, positives)
+    assert all(abs(got[i].score - want[i]) < 1e-3 and got[i].held_out == held[i] and got[i].predicted == (got[i].score >= 0.3) for i in got)
 
 
 def test_classifier_on_odd_texts(spark, docs, small, nothing):
