@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.lineage import cut
 
-__all__ = ["BROADCAST_BYTES", "checked_broadcast", "cut", "fewer", "small_cut", "split_words", "table", "word_count"]
+__all__ = ["BROADCAST_BYTES", "checked_broadcast", "cut", "fewer", "small_cut", "split_words", "spread_join", "table", "word_count"]
 
 #: Rows times bytes that a broadcast side may have; larger sides are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -46,3 +46,19 @@ def split_words(text: Column, between: str) -> Column:
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` words; 0 for null."""
     return F.size(split_words(text, _SPACES)).cast("long")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: str | list[str], hot: int = 500) -> DataFrame:
+    """``rows`` joined to ``facts``, which has one row for each ``on`` and counts in ``n`` how many rows meet it.
+
+    Keys that more than ``hot`` rows meet are joined where the rows are, by a checked broadcast, so that no
+    task gathers the rows of one key; all others are shuffled.  (Should there be too many hot keys for a
+    broadcast, they are shuffled too, and only skewed-join handling splits them.)
+    """
+    on = [on] if isinstance(on, str) else on
+    most = cut(facts.where(F.col("n") > hot))
+    if most.isEmpty():
+        return rows.join(facts, on)
+    near = checked_broadcast(most, 64)
+    rest = rows.join(near.select(*on), on, "left_anti").join(facts.where(F.col("n") <= hot), on)
+    return rows.join(near, on).unionByName(rest)

@@ -1,3 +1,5 @@
+import functools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -6,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from millrace.llm import ngram_join as j
+from millrace.llm.common import spread_join
 from millrace.llm.components import connected_components
 from millrace.llm.wordhash import words
 
@@ -56,6 +59,45 @@ def test_frequent_tokens_lose_no_link(docs, small, monkeypatch):
     assert got == sorted(components([(i, t) for i, t, _ in small], 4, 85), key=str)
 
 
+def test_hot_signatures_are_split(docs, small, monkeypatch):
+    """Every shared signature handled as a hot one, in blocks of three members."""
+    monkeypatch.setattr(j, "spread_join", functools.partial(spread_join, hot=1))
+    monkeypatch.setattr(j, "BLOCK", 3)
+    monkeypatch.setattr(j, "FREQUENT_DF", 2)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.ngram_jaccard_join(docs, n=5, percent=80).collect()), key=str)
+    assert got == sorted(components([(i, t) for i, t, _ in small], 5, 80), key=str)
+
+
+def test_rows_without_a_key_link_and_shared_keys_do_not(spark):
+    def text(c, n=60):
+        return [f"{c}{k}" for k in range(n)]
+
+    a, x, y = text("a"), text("x"), text("y")
+    middle, far = a[3:], a[6:]  # 60 and 57 words: linked; 60 and 54: not
+    rows = [(1, a), (None, middle), (3, far), (5, x), (5, y), (2, y + ["end"]), (7, ["start", *x]), (None, text("b")), (None, text("b")), (None, [])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.ngram_jaccard_join(df, n=4, percent=91).collect()), key=str)
+    want = [(1, 57, 1), (None, 54, 1), (3, 51, 1), (5, 57, 5), (5, 57, 2), (2, 58, 2), (7, 58, 5), (None, 57, None), (None, 57, None), (None, 0, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_large_groups_of_near_copies(spark):
+    """Hundreds of texts that all differ a little, in two groups that share most of their words' tokens."""
+    r = random.Random(8)
+    words_ = [f"w{k}" for k in range(500)]
+    rows = []
+    for group in (range(0, 120), range(25, 145)):
+        base = [words_[k] for k in group]
+        for _ in range(150):
+            own = list(base)
+            for _ in range(r.randint(0, 3)):
+                own[r.randrange(len(own))] = r.choice(words_)
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in j.ngram_jaccard_join(df, n=4, percent=85).collect())
+    assert got == sorted(components(rows, 4, 85))
+
+
 def test_empty(nothing):
     assert j.ngram_jaccard_join(nothing).collect() == []
 
