@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import checked_broadcast, cut, table
 from millrace.llm.decontaminate import decontaminate
-from millrace.llm.mixing import mix_sources
+from millrace.llm.mixing import clean_text_weight, mix_sources
 from millrace.llm.ngram_join import ngram_jaccard_join
 from millrace.llm.quality_rules import fit_rules, keep_passing
 from millrace.llm.sharding import assign_shards
@@ -32,7 +32,11 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the fixed rules, or the trees fitted on the labels, go."""
+    """Documents that fail the fixed rules, or the trees fitted on the labels, go.
+
+    Null and empty texts fail; very long ones are judged whole; repeated rows are judged alike.  Without
+    labels of these documents only the fixed rules hold.  An empty table stays empty.
+    """
     return keep_passing(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
@@ -41,7 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_id only if no member has any, ties by a hash.
 
     Five-word shingles, similarity 0.8.  Of rows with equal doc_id (or none) and equal text one stays;
-    different texts under one doc_id, or under none, are documents of their own.
+    different texts under one doc_id, or under none, are documents of their own.  Null and empty texts
+    resemble nothing, so they stay.  An empty table stays empty.
     """
     named = _named(docs, "doc_id", "text")
     groups = cut(ngram_jaccard_join(named, key=_ROW, n=5, percent=80).select(_ROW, "component_id"))
@@ -58,7 +63,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of ten words of a benchmark item go, those without doc_id too."""
+    """Documents that hold a window of ten words of a benchmark item go, those without doc_id too.
+
+    Rows are judged by their text, however often they repeat; null and empty texts stay.  An empty table, or
+    an empty benchmark, changes nothing.
+    """
     named = _named(docs, "doc_id", "text")
     return _without(named, decontaminate(named, table(spark, sf_dir, "benchmark"), key=_ROW).where("contaminated")).select(docs.columns)
 
@@ -66,23 +75,28 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents leave as often as the mix takes them: not at all, once or twice.
 
-    Repeated rows (equal doc_id, text and source) are numbered where the mix takes some of them more often.
+    Texts weigh by ``clean_text_weight``.  Repeated rows (equal doc_id, text and source) are numbered where
+    the mix takes some of them more often.  Null and empty texts have no words, and their number is left to
+    chance.  An empty table stays empty.
     """
     named = _named(docs, "doc_id", "text", "source")
-    drawn = mix_sources(named, key=_ROW).groupBy(_ROW).agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n"))
+    drawn = mix_sources(named, key=_ROW, weight=clean_text_weight(F.col("text"))).groupBy(_ROW)
+    drawn = drawn.agg(F.min("copies").alias("__least"), F.max("copies").alias("__most"), F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__n"))
     # copies of equal rows differ by one at most
-    drawn = cut(drawn.where("most > 0").select(_ROW, "least", "most", (F.col("all") - F.col("n") * F.col("least")).alias("more")))
-    taken = named.join(checked_broadcast(cut(drawn.where("least = most")), 32), _ROW).withColumn("times", F.col("least"))
-    split = cut(drawn.where("least < most"))
+    more = (F.col("__all") - F.col("__n") * F.col("__least")).alias("__more")
+    drawn = cut(drawn.where("__most > 0").select(_ROW, "__least", "__most", more))
+    taken = named.join(checked_broadcast(cut(drawn.where("__least = __most")), 32), _ROW).withColumn("__times", F.col("__least"))
+    split = cut(drawn.where("__least < __most"))
     if not split.isEmpty():
         some = named.join(checked_broadcast(split, 32), _ROW)
         nth = F.row_number().over(Window.partitionBy(_ROW).orderBy(F.xxhash64(*docs.columns)))
-        taken = taken.union(some.withColumn("times", F.col("least") + (nth <= F.col("more")).cast("int")).where("times > 0"))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+        taken = taken.union(some.withColumn("__times", F.col("__least") + (nth <= F.col("__more")).cast("int")).where("__times > 0"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row of the mix gets its shard and its place there."""
+    """Every row of the mix gets its shard and its place there; null texts and doc_ids, and copies, too.
+    An empty table gives none."""
     return assign_shards(docs, shards=8)
 
 
