@@ -49,16 +49,19 @@ def word_count(text: Column) -> Column:
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, on: str | list[str], hot: int = 500) -> DataFrame:
-    """``rows`` joined to ``facts``, which has one row for each ``on`` and counts in ``n`` how many rows meet it.
+    """``rows`` joined to ``facts`` (cut), which has one row for each ``on`` and in ``n`` about how many rows meet it.
 
-    Keys that more than ``hot`` rows meet are joined where the rows are, by a checked broadcast, so that no
-    task gathers the rows of one key; all others are shuffled.  (Should there be too many hot keys for a
-    broadcast, they are shuffled too, and only skewed-join handling splits them.)
+    The facts of a key that more than ``hot`` rows meet are laid out in copies of their own, one for each
+    ``hot`` rows, and the key's rows are dealt over them, so that no task gathers the rows of one key.  Only
+    the hot keys are told to the tasks, by a checked broadcast.
     """
     on = [on] if isinstance(on, str) else on
-    most = cut(facts.where(F.col("n") > hot))
+    copies = F.ceil(F.col("n") / hot)
+    most = cut(facts.where(F.col("n") > hot).select(*on, copies.alias("__copies")))
     if most.isEmpty():
         return rows.join(facts, on)
-    near = checked_broadcast(most, 64)
-    rest = rows.join(near.select(*on), on, "left_anti").join(facts.where(F.col("n") <= hot), on)
-    return rows.join(near, on).unionByName(rest)
+    # any copy will do for a row
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__copies")), F.lit(0).cast("long"))
+    dealt = rows.join(checked_broadcast(most, 32), on, "left").withColumn("__salt", salt).drop("__copies")
+    laid = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    return dealt.join(laid, [*on, "__salt"]).drop("__salt")

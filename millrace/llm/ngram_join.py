@@ -12,8 +12,8 @@ this is, never what is found.
 Sets that agree in a signature become candidates; sizes and parity bitmaps (an upper bound of the
 overlap) thin them out, and the rest is verified by counting common tokens.
 
-Texts are split and hashed once: the sets are written, and rows with equal sets become one class.  All
-that follows works on classes, so neither keys nor copies matter until the components are handed out.
+Rows with equal sets are one class, by a 128-bit fingerprint, and only classes are joined.  Inside, a row
+goes by a hash of its key and text, so that rows that share a key, or have none, are told apart.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import checked_broadcast, cut, small_cut, spread_join
 from millrace.llm.components import connected_components
-from millrace.llm.wordhash import SLICE_BYTES, mix, slices, window_hash, window_starts, words
+from millrace.llm.wordhash import mix, slices, window_hash, window_starts, words
 
 #: Tokens found in at least this many prefixes are frequent, the ``FREQUENT_MAX`` heaviest at most:
 #: 1 MB of hashes, the only data sent to every task.
@@ -38,8 +38,6 @@ FREQUENT_MAX = 1 << 17
 DRAWS = tuple(range(16))
 #: One in so many signatures is compared pair by pair first: pairs that link share many of them.
 SPARSE = 4
-#: Members of an open group that meet in one task, with as many others.
-BLOCK = 256
 #: Longs of the bitmaps that are compared inside the join of open groups.
 FOLD = 8
 _SIZE_STEP = 1.0125
@@ -136,55 +134,43 @@ def _pair_signatures(frequent: np.ndarray, need: int, level: int) -> np.ndarray:
     return mix(frequent[left] * np.uint64(0xA24BAED4963EE407) + frequent[right] + np.uint64(level))
 
 
-def _describe(kind: str, n: int):
+def _describe(kind: str, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in slices(batch.column(1)):
+            for first, part in slices(batch.column(2)):
                 token, at = token_sets(part, n)
+                size = np.diff(at)
+                low, high = _sums(mix(token), at), _sums(mix(token ^ np.uint64(0x9E6C63D0876A9A47)), at)
+                ends = at[:-1] + np.where(size > 0, allowed(size, percent) + 1, 0)
+                short = np.arange(len(token)) < np.repeat(ends, size)
+                at32 = np.concatenate([[0], np.cumsum(ends - at[:-1])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(part)),
-                        pa.array(np.diff(at).astype(np.int64)),
-                        pa.array(_sums(mix(token), at).view(np.int64)),
-                        pa.array(_sums(mix(token ^ np.uint64(0x9E6C63D0876A9A47)), at).view(np.int64)),
-                        pa.ListArray.from_arrays(at.astype(np.int32), pa.array(token.view(np.int64))),
+                        batch.column(1).slice(first, len(part)),
+                        pa.array(size.astype(np.int64)),
+                        pa.array(low.view(np.int64)),
+                        pa.array(high.view(np.int64)),
+                        pa.array(_node(size, low)),
+                        pa.array(bitmaps(token, at), pa.binary()),
+                        folded(token, at),
+                        pa.ListArray.from_arrays(at32, pa.array(token[short].view(np.int64))),
                     ],
-                    ["id", "size", "low", "high", "tokens"],
+                    ["key", "id", "size", "low", "high", "node", "bitmap", "fold", "prefix"],
                 )
 
-    return run, f"id {kind}, size long, low long, high long, tokens array<long>"
-
-
-def _lists(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, tokens, bounds) pieces of a column of sets, ``SLICE_BYTES`` of tokens or one set each."""
-    at = column.offsets.to_numpy().astype(np.int64)
-    token = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    row = 0
-    while row < len(column):
-        stop = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES // 8, "right")) - 1)
-        yield row, stop - row, token[at[row] : at[stop]], at[row : stop + 1] - at[row]
-        row = stop
-
+    return run, f"key {kind}, id long, size long, low long, high long, node long, bitmap binary, fold array<long>, prefix array<long>"
 
-def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size class and bitmaps of (class, low, tokens) rows."""
-    for batch in batches:
-        for first, rows, token, at in _lists(batch.column(2)):
-            low = batch.column(1).slice(first, rows).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, rows), pa.array(np.diff(at)), pa.array(_node(np.diff(at), low)), pa.array(bitmaps(token, at), pa.binary()), folded(token, at)],
-                ["class", "size", "node", "bitmap", "fold"],
-            )
 
-
-def _signatures(percent: int, frequent: np.ndarray):
+def _signatures(n: int, percent: int, frequent: np.ndarray):
     smallest = -(-percent // (100 - percent))  # smaller sets are linked only to equal ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows, token, at in _lists(batch.column(2)):
+            for _, part in slices(batch.column(0)):
+                token, at = token_sets(part, n)
                 size = np.diff(at)
-                node = _node(size, batch.column(1).slice(first, rows).to_numpy(zero_copy_only=False).view(np.uint64))
+                node = _node(size, _sums(mix(token), at))
                 owner = np.repeat(np.arange(len(size)), size)
                 place = np.searchsorted(frequent, token)
                 heavy = np.zeros(len(token), bool)
@@ -202,17 +188,36 @@ def _signatures(percent: int, frequent: np.ndarray):
                     for at_level in (level, level + 1):  # a partner's size may lie in the next level
                         sig.append(_pair_signatures(own, int(want[i] - n_rare[i]), at_level))
                         of.append(np.full(len(sig[-1]), node[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(of))], ["sig", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(of))], ["sig", "node"]
+                )
 
     return run
 
 
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in slices(batch.column(1)):
+                token, at = token_sets(part, n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, len(part)),
+                        pa.array(_sums(mix(token), at).view(np.int64)),
+                        pa.ListArray.from_arrays(at.astype(np.int32), pa.array(token.view(np.int64))),
+                    ],
+                    ["id", "low", "tokens"],
+                )
+
+    return run, "id long, low long, tokens array<long>"
+
+
 def _plausible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("bitmap_a", "bitmap_b", "size_a", "size_b")), strict=True)
             keep = [(100 + percent) * most_common(a, b, m, n) >= percent * (m + n) for a, b, m, n in rows]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "size_a", "b", "size_b"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "low_a", "size_a", "b", "low_b", "size_b"])
 
     return run
 
@@ -221,7 +226,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold, as links (a, b)."""
     p = pairs
     for side in ("a", "b"):
-        p = p.join(sets.select(F.col("class").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+        p = p.join(sets.select(F.col("id").alias(side), F.col("low").alias(f"low_{side}"), F.col("tokens").alias(f"tokens_{side}")), [side, f"low_{side}"])
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return p.where(both * 100 >= (F.col("size_a") + F.col("size_b") - both) * percent).select("a", "b")
 
@@ -238,29 +243,24 @@ def _likely_pairs(open_: DataFrame, salts: tuple[int, ...], percent: int) -> Dat
     """(x, y): members of a signature in different components that sizes and bitmaps allow to link.
 
     With ``salts``, members are compared with one drawn member a salt; without, with each other, but for
-    those that were compared with all before.  The members of a signature are dealt into blocks of about
-    ``BLOCK``, and what meets in a task is one block and the drawn members, or two blocks.
+    those that were compared with all before.
     """
-    columns = [c for c in open_.columns if c not in ("sig", "done", "block", "blocks")]
+    columns = [c for c in open_.columns if c not in ("sig", "done")]
     if salts:
         drawn = [F.min(F.struct(F.xxhash64("node", F.lit(s)), *columns)) for s in salts]
-        right = open_.groupBy("sig", "blocks").agg(F.array_distinct(F.array(*drawn)).alias("drawn"))
-        right = right.select("sig", F.explode("drawn").alias("y"), "blocks").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        right = right.select("sig", "block", *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns])
-        left = open_.select("sig", "block", *[F.col(c).alias(f"x_{c}") for c in columns])
-        met, once = left.join(right, ["sig", "block"]), F.lit(True)
+        right = open_.groupBy("sig").agg(F.array_distinct(F.array(*drawn)).alias("drawn")).select("sig", F.explode("drawn").alias("y"))
+        right = right.select("sig", *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns])
+        left = open_
     else:
-        own = open_.where(~F.col("done"))
-        left = own.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-        right = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))))
-        left = left.select("sig", "block", "other", *[F.col(c).alias(f"x_{c}") for c in columns])
-        right = right.select("sig", F.col("other").alias("block"), F.col("block").alias("other"), *[F.col(c).alias(f"y_{c}") for c in columns])
-        met, once = left.join(right, ["sig", "block", "other"]), (F.col("block") < F.col("other")) | (F.col("x_node") < F.col("y_node"))
+        left = open_.where(~F.col("done"))
+        right = left.select("sig", *[F.col(c).alias(f"y_{c}") for c in columns])
+    left = left.select("sig", *[F.col(c).alias(f"x_{c}") for c in columns])
     differ = sum((F.bit_count(F.col(f"x_f{i}").bitwiseXOR(F.col(f"y_f{i}"))) for i in range(1, FOLD)), F.bit_count(F.col("x_f0").bitwiseXOR(F.col("y_f0"))))
     total = F.col("x_size") + F.col("y_size")
     likely = (total - differ) * (100 + percent) >= total * (2 * percent)
     near_size = F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent
-    met = met.where(once & (F.col("x_of") != F.col("y_of")) & near_size & likely)
+    once = F.lit(True) if salts else F.col("x_node") < F.col("y_node")
+    met = left.join(right, "sig").where(once & (F.col("x_of") != F.col("y_of")) & near_size & likely)
     return met.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
 
 
@@ -274,38 +274,33 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Equal sets are one class, and only classes are joined.  Within a signature, classes are first compared
     with its smallest and largest member, which settles groups of near copies of any size; what is then
-    still in different components is compared directly, block by block.
+    still in different components is compared directly.
 
     Null texts, and texts without words, have empty sets and link with nothing, so they are their own
     component.  Rows are judged by their text: those that share a key but not the text are documents of
     their own, and repeated rows get equal answers.  A row without a key links like any other; it gets the
-    smallest key of its component, and null if there is none.  Ties in similarity cannot arise, as a link
-    needs only the threshold.  A very long text is one set, and in memory once while it is hashed.  An empty
-    table gives an empty result; other columns are not read.
+    smallest key of its component, and null if there is none.  Ties cannot arise, as a link needs only the
+    threshold.  A very long text is one set, and in memory once while it is hashed.  An empty table gives an
+    empty result; other columns are not read.
     """
     if not 70 <= percent <= 99:
         raise ValueError("percent must be from 70 to 99")
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-    base = cut(rows.mapInArrow(*_describe(kind, n)).withColumn("row", F.monotonically_increasing_id()))
-
-    alike = base.where("size > 0").groupBy("low", "high").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
-    # classes are named by half of their fingerprint; should two share it, they get neighbouring names
-    nth = F.row_number().over(Window.partitionBy("low").orderBy("high")).cast("long") - 1
-    alike = small_cut(alike.withColumn("class", F.col("low").bitwiseXOR(nth)))
-    sets = base.join(checked_broadcast(alike.select("row", "class"), 24), "row").select("class", "low", "size", "tokens")
+    row = F.xxhash64(docs[key].isNull(), docs[key], docs[text])
+    rows = docs.select(docs[key].alias("key"), row.alias("id"), docs[text].alias("text"))
+    base = cut(rows.mapInArrow(*_describe(kind, n, percent)))
 
-    short = F.slice("tokens", F.lit(1), (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int"))
-    prefix = sets.select(F.explode(short).alias("token"))
+    prefix = base.where("size > 0").select(F.explode("prefix").alias("token"))
     heavy = prefix.groupBy("token").count().where(F.col("count") >= FREQUENT_DF).orderBy(F.desc("count"), "token").limit(FREQUENT_MAX)
     frequent = np.sort(np.array([r.token for r in heavy.collect()], np.int64).view(np.uint64))
 
-    classes = small_cut(sets.select("class", "low", "tokens").mapInArrow(_outline, "class long, size long, node long, bitmap binary, fold array<long>"))
-    sigs = sets.select("class", "low", "tokens").mapInArrow(_signatures(percent, frequent), "sig long, node long").distinct()
-    sigs = cut(sigs)
+    # copies within a task are taken out before anything is sent
+    sigs = rows.select("text").mapInArrow(_signatures(n, percent, frequent), "sig long, node long")
     ends = sigs.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
-    members = small_cut(spread_join(sigs, cut(ends), "sig"))
+    members = small_cut(spread_join(sigs, cut(ends), "sig").distinct())
 
+    classes = base.where("size > 0").groupBy("low", "high").agg(F.min("id").alias("rep"), F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("node").alias("node"), F.first("bitmap").alias("bitmap"), F.first("fold").alias("fold"))
+    classes = small_cut(classes)
     apart = int(np.ceil(np.log(100 / percent) / np.log(_SIZE_STEP))) + 1
     near = F.abs(F.shiftright("x", _HASH_BITS) - F.shiftright("y", _HASH_BITS)) <= apart
 
@@ -313,50 +308,47 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
         """Pairs of nodes (x, y) as pairs of classes that sizes and bitmaps allow."""
         p = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where((F.col("x") != F.col("y")) & near).distinct()
         for node, side in (("x", "a"), ("y", "b")):
-            p = p.join(classes.select(F.col("node").alias(node), F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), node)
+            p = p.join(classes.select(F.col("node").alias(node), *[F.col(c).alias(f"{o}{side}") for c, o in (("rep", ""), ("low", "low_"), ("size", "size_"), ("bitmap", "bitmap_"))]), node)
         p = p.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent).drop("x", "y")
-        return p.mapInArrow(_plausible(percent), "a long, size_a long, b long, size_b long")
+        return p.mapInArrow(_plausible(percent), "a long, low_a long, size_a long, b long, low_b long, size_b long")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        used = small_cut(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("class")))
-        return _verified(pairs, sets.join(checked_broadcast(used, 16), "class", "left_semi").select("class", "tokens"), percent)
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        used = small_cut(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")))
+        found = rows.select("id", "text").join(checked_broadcast(used, 24), "id", "left_semi").mapInArrow(*_sets(n))
+        return small_cut(found.dropDuplicates(["id", "low"]), 5_000)
 
     star = members.select(F.col("node").alias("x"), F.col("first").alias("y")).union(members.select(F.col("node").alias("x"), F.col("last").alias("y")))
     pairs = small_cut(candidates(star))
+    sets = sets_of(pairs)
     # one pair of each class first: most others then lie inside a component
     one = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = small_cut(verified(pairs.join(one, ["a", "b"])))
+    links = small_cut(_verified(pairs.join(one, ["a", "b"]), sets, percent))
     labels = connected_components(links)
-    rest = small_cut(_across(pairs, labels).join(one, ["a", "b"], "left_anti").select(pairs.columns))
-    if not rest.isEmpty():
-        links = small_cut(links.union(verified(rest)))
-        labels = connected_components(links)
-    labels = small_cut(labels)
+    rest = _across(pairs, labels).join(one, ["a", "b"], "left_anti")
+    links = small_cut(links.union(_verified(rest, sets, percent)))
+    labels = small_cut(connected_components(links))
 
     # Signatures whose members are still in different components: their members are compared with a few
     # drawn ones, then pair by pair, in one of ``SPARSE`` signatures first and at last in all that are
     # still open.  Each step joins up most of what the next one would have found many times over.  The
     # bound of the overlap by folded bitmaps is part of the join's condition, so only likely links come
     # out of it.
-    facts = classes.select("node", "class", "size", *[F.col("fold")[i].alias(f"f{i}") for i in range(FOLD)])
+    facts = classes.select("node", "rep", "size", *[F.col("fold")[i].alias(f"f{i}") for i in range(FOLD)])
     members = members.where("n > 3").select("sig", "node", ((F.col("node") == F.col("first")) | (F.col("node") == F.col("last"))).alias("done"))
     for salts, sparse in ((DRAWS, 1), ((), SPARSE), ((), 1)):
-        of = facts.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("of", F.coalesce("component", "class")).drop("class", "component")
+        of = facts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("of", F.coalesce("component", "rep")).drop("rep", "component")
         open_ = members.join(of, "node")
-        mixed = open_.groupBy("sig").agg(F.min("of").alias("low_of"), F.max("of").alias("high_of"), F.count(F.lit(1)).alias("m")).where("low_of <> high_of")
-        mixed = cut(mixed.select("sig", F.ceil(F.col("m") / BLOCK).alias("blocks")))
-        open_ = small_cut(open_.join(checked_broadcast(mixed, 32), "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-        if open_.isEmpty():
-            break
+        mixed = open_.groupBy("sig").agg(F.min("of").alias("low_of"), F.max("of").alias("high_of")).where("low_of <> high_of").select("sig")
+        open_ = small_cut(open_.join(mixed, "sig"))
         asked = open_.where(F.pmod(F.xxhash64("sig"), F.lit(sparse)) == 0)
         more = small_cut(candidates(_likely_pairs(asked, salts, percent)))
-        if not more.isEmpty():
-            links = small_cut(links.union(verified(more)))
-            labels = small_cut(connected_components(links))
-
-    named = alike.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    reached = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = cut(spread_join(named.drop("n").withColumnRenamed("row", "__row"), cut(reached), "component").drop("n").join(alike.select("low", "high", "n"), ["low", "high"]).select("low", "high", "n", "component_id"))
-    out = spread_join(base.where("size > 0").select("id", "size", "low", "high"), named, ["low", "high"]).select("id", "size", F.coalesce("component_id", "id").alias("component_id"))
-    out = out.union(base.where("size = 0").select("id", "size", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(key), F.col("size").alias("n_shingles"), "component_id")
+        links = small_cut(links.union(_verified(more, sets_of(more), percent)))
+        labels = small_cut(connected_components(links))
+
+    named = classes.select("low", "high", "rep", "least", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.withColumn("component", F.coalesce("component", "rep"))
+    reached = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(named.join(reached, "component").select("low", "high", "n", "component_id"))
+    out = spread_join(base.where("size > 0").select("key", "size", "low", "high"), named, ["low", "high"]).select("key", "size", F.coalesce("component_id", "key").alias("component_id"))
+    out = out.union(base.where("size = 0").select("key", "size", F.col("key").alias("component_id")))
+    return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")

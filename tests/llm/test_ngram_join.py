@@ -60,9 +60,8 @@ def test_frequent_tokens_lose_no_link(docs, small, monkeypatch):
 
 
 def test_hot_signatures_are_split(docs, small, monkeypatch):
-    """Every shared signature handled as a hot one, in blocks of three members."""
+    """Every shared signature handled as a hot one."""
     monkeypatch.setattr(j, "spread_join", functools.partial(spread_join, hot=1))
-    monkeypatch.setattr(j, "BLOCK", 3)
     monkeypatch.setattr(j, "FREQUENT_DF", 2)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.ngram_jaccard_join(docs, n=5, percent=80).collect()), key=str)
     assert got == sorted(components([(i, t) for i, t, _ in small], 5, 80), key=str)
