@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -49,6 +50,20 @@ def safe_pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
+def may_be_split(path: str) -> bool:
+    """Whether counts of ``safe_pieces`` add up under a tokenizers .json: byte-level words by its usual
+    pattern, nothing put in front, nothing normalized, and no added token that takes blanks with it or that
+    a cut would go through."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    pre = told.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+    for token in told.get("added_tokens") or []:
+        data = np.frombuffer(token["content"].encode(), np.uint8)
+        plain &= not any(token.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")) and len(safe_pieces(data, np.array([0, len(data)]))[0]) == 1
+    return bool(plain) and told.get("normalizer") is None
+
+
 class PieceCounter:
     """Token counts of byte pieces; distinct pieces are encoded once and remembered by hash."""
 
@@ -59,6 +74,7 @@ class PieceCounter:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        self.splits = may_be_split(path)
         self.hash = np.zeros(0, np.uint64)
         self.count = np.zeros(0, np.int32)
 
@@ -100,6 +116,8 @@ def _count(path: str, part: pa.Array) -> np.ndarray:
     total = np.zeros(len(part), np.int64)
     if path.endswith(".model"):
         total[:] = [len(x) for x in _sentences(path).encode(part.to_pylist(), num_threads=1)]
+    elif len(data) and not _pieces(path).splits:
+        total[:] = [len(x) for x in _pieces(path).model.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
     elif len(data):
         start, end, owner = safe_pieces(data, at)
         counts = _pieces(path)(data, start, end)
@@ -110,8 +128,8 @@ def _count(path: str, part: pa.Array) -> np.ndarray:
 def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
-    ``tokenizer`` is a file readable on every executor: byte-level .json for the tokenizers library or
-    .model for sentencepiece.  Inside a task, texts are taken in batches of about ``BATCH_BYTES``,
+    ``tokenizer`` is a file readable on every executor: .json for the tokenizers library or .model for
+    sentencepiece.  Texts are split only where the file allows it (``may_be_split``), else encoded whole.  Inside a task, texts are taken in batches of about ``BATCH_BYTES``,
     balanced by bytes rather than rows; .json texts are split at safe boundaries (``safe_pieces``), and
     each distinct piece is encoded once per batch at most.  So a very long text is encoded in short
     pieces, and only lengths leave the task.

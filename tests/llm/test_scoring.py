@@ -1,6 +1,7 @@
 """Token counts, document statistics, boosted trees, the PU classifier and language ID."""
 
 import itertools
+import json
 import math
 import random
 import re
@@ -42,6 +43,23 @@ def test_token_counts_of_odd_texts():
     assert got.tolist() == [len(x) for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"prefix": True}, {"rstrip": True}])
+def test_files_that_do_not_split_safely_are_used_whole(tmp_path, change):
+    from tokenizers import Tokenizer
+
+    told = json.load(open(JSON, encoding="utf-8"))
+    told["normalizer"] = change.get("normalizer")
+    told["pre_tokenizer"]["add_prefix_space"] = change.get("prefix", False)
+    if "rstrip" in change:
+        told["added_tokens"][0]["rstrip"] = True
+    path = str(tmp_path / "changed.json")
+    json.dump(told, open(path, "w", encoding="utf-8"))
+    assert tokencount.may_be_split(JSON) and not tokencount.may_be_split(path)
+    texts = ["Hello World, it's me. A b", "", "no <|endoftext|>  end", " x"]
+    want = [len(x) for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert tokencount._count(path, pa.array(texts)).tolist() == want
+
+
 def test_token_counts_with_sentencepiece(docs, small):
     import sentencepiece
 
