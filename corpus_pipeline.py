@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import checked_broadcast, cut, table
 from millrace.llm.decontaminate import decontaminate
-from millrace.llm.mixing import clean_text_weight, mix_sources
+from millrace.llm.mixing import mix_sources
 from millrace.llm.ngram_join import ngram_jaccard_join
 from millrace.llm.quality_rules import fit_rules, keep_passing
 from millrace.llm.sharding import assign_shards
@@ -75,12 +75,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents leave as often as the mix takes them: not at all, once or twice.
 
-    Texts weigh by ``clean_text_weight``.  Repeated rows (equal doc_id, text and source) are numbered where
+    The texts of a source weigh the same.  Repeated rows (equal doc_id, text and source) are numbered where
     the mix takes some of them more often.  Null and empty texts have no words, and their number is left to
     chance.  An empty table stays empty.
     """
     named = _named(docs, "doc_id", "text", "source")
-    drawn = mix_sources(named, key=_ROW, weight=clean_text_weight(F.col("text"))).groupBy(_ROW)
+    drawn = mix_sources(named, key=_ROW).groupBy(_ROW)
     drawn = drawn.agg(F.min("copies").alias("__least"), F.max("copies").alias("__most"), F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__n"))
     # copies of equal rows differ by one at most
     more = (F.col("__all") - F.col("__n") * F.col("__least")).alias("__more")
