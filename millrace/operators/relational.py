@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 JOIN_KINDS = ("inner", "left", "right", "cross")
+#: Consecutive rows that ``join_lists`` gathers by key at once, as bits, and rows of a list at most.
+BLOCK_BITS = 16
+LIST_ROWS = 1024
 
 
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, *conditions: Column) -> DataFrame:
@@ -49,6 +52,46 @@ def join(left: DataFrame, right: DataFrame, on: Column | None = None, kind: str
     return left.join(right, on, kind)
 
 
+def _lists(df: DataFrame, key: str, side: str) -> DataFrame:
+    """The rows of each key in lists, named ``side``; a side of one column is a list of its values."""
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
+    rows = df.select(F.col(key).alias(f"{side}_key"), block.alias("__block"), F.struct(*[c for c in df.columns if c != key]).alias(side))
+    lists = rows.groupBy(f"{side}_key", "__block").agg(F.collect_list(side).alias(side))
+    fields = rows.schema[side].dataType.names
+    if len(fields) == 1:
+        lists = lists.withColumn(side, F.col(side)[fields[0]])
+    first = F.explode(F.sequence(F.lit(1), F.size(side), F.lit(LIST_ROWS))).alias("__first")
+    return lists.select(f"{side}_key", side, first).select(f"{side}_key", F.slice(side, F.col("__first"), LIST_ROWS).alias(side))
+
+
+def join_lists(left: DataFrame, right: DataFrame, left_key: str, right_key: str, kind: str = "inner") -> DataFrame:
+    """The columns but the keys of ``left`` and ``right`` (named differently) where the keys are equal, which
+    NULL never is; ``kind`` is inner or left.
+
+    For few keys that many rows of both sides share, so that there are far more pairs than rows.  Rows are
+    gathered in bounded lists by key, lists are paired, and the pairs of lists are dealt over all tasks, each
+    of which writes out its pairs of rows one by one.  No task gathers the rows of a key, whatever their
+    number, and no side is broadcast whole.  Lists are cut by the order of rows, which has to be the same when
+    a task is repeated, as it is in a scan.
+    """
+    if kind not in ("inner", "left"):
+        raise ValueError(f"unknown join kind {kind!r}")
+    sides = [(left, left_key, "__left"), (right, right_key, "__right")]
+    a, b = (_lists(*side) for side in sides)
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    out = a.join(b, F.col("__left_key") == F.col("__right_key"), kind).select("__left", "__right").repartition(tasks)
+    # a generator's rows are held until its stage is through with the row they come from: the coalesce, of as
+    # many partitions as there are, ends the stage, so that the next one holds the rows of one list, not of two
+    out = out.select(F.explode("__left").alias("__left"), "__right").coalesce(tasks)
+    out = out.select("__left", (F.explode_outer if kind == "left" else F.explode)("__right").alias("__right"))
+    columns = []
+    for df, key, side in sides:
+        names = [c for c in df.columns if c != key]
+        columns += [F.col(side).alias(names[0])] if len(names) == 1 else [F.col(side)[c].alias(c) for c in names]
+    return out.select(*columns)
+
+
 def where_in(df: DataFrame, column: str, query: DataFrame) -> DataFrame:
     """column IN (query); ``query`` has one column."""
     q = query.toDF("__in")

@@ -489,7 +489,7 @@ def qualified_star(t: Tables) -> DataFrame:
 def join_on_null_keys(t: Tables) -> DataFrame:
     c = rel.project(t.customer, c_custkey="c_custkey", k=fn.nullif(col("c_nationkey"), F.lit(3)))
     s = rel.project(t.supplier, s_suppkey="s_suppkey", j=fn.nullif(col("s_nationkey"), F.lit(3)))
-    return rel.join(c, s, col("k") == col("j"), "left").select("c_custkey", "s_suppkey")
+    return rel.join_lists(c, s, "k", "j", "left")
 
 
 @register("SELECT o_orderkey, points FROM orders JOIN (VALUES ('1-URGENT', 5), ('2-HIGH', 3), (NULL, 1)) p(priority, points) ON o_orderpriority = priority")

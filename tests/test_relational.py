@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from millrace.functions import aggregate as agg
 from millrace.operators import change, statistics
 from millrace.operators import relational as rel
+from millrace.plans import catalogue
 
 
 def rows(df):
@@ -31,6 +32,34 @@ def test_joins(left, right):
         rel.join(left, right, on, "full")
 
 
+@pytest.mark.parametrize(("bits", "n"), [(0, 1024), (2, 3), (16, 1), (16, 1024)])
+def test_join_lists(spark, left, right, monkeypatch, bits, n):
+    monkeypatch.setattr(rel, "BLOCK_BITS", bits)
+    monkeypatch.setattr(rel, "LIST_ROWS", n)
+    more = right.union(right).union(rel.values(spark, [(1, None), (2, None)], "j int, w string"))
+    wide = left.union(left).withColumn("u", F.length("v"))
+    for kind in ("inner", "left"):
+        on = F.col("k") == F.col("j")
+        assert rows(rel.join_lists(left, more, "k", "j", kind)) == rows(rel.join(left, more, on, kind).select("v", "w"))
+        two = more.withColumn("x", F.length("w"))
+        assert rows(rel.join_lists(wide, two, "k", "j", kind)) == rows(rel.join(wide, two, on, kind).select("v", "u", "w", "x"))
+        assert rows(rel.join_lists(left, more.where("1 = 0"), "k", "j", kind)) == ([("a", None), ("b", None), ("c", None)] if kind == "left" else [])
+        assert rows(rel.join_lists(left.where("1 = 0"), more, "k", "j", kind)) == []
+    with pytest.raises(ValueError):
+        rel.join_lists(left, more, "k", "j", "right")
+
+
+def test_pairs_of_one_key_are_dealt_over_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(rel, "LIST_ROWS", 50, raising=False)
+    n = 1000
+    spark.range(n).select(F.col("id").alias("c_custkey"), F.lit(5).alias("c_nationkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(n).select(F.col("id").alias("s_suppkey"), F.lit(5).alias("s_nationkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = catalogue.QUERIES["join_on_null_keys"](spark, str(tmp_path))
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == n * n
+    assert max(counts) < n * n / 4
+
+
 def test_in_and_not_in(spark, left):
     one, null, none = (rel.values(spark, r, "q int") for r in ([(1,)], [(1,), (None,)], []))
     assert rows(rel.where_in(left, "k", null)) == [(1, "a")]
