@@ -1,28 +1,50 @@
-"""Connected components of a link table by alternating large-star and small-star rounds."""
+"""Connected components of a link table by alternating large-star and small-star rounds.
+
+Few links (``ONE_TASK``) go through the same rounds in one partition and without a shuffle: a row is turned
+into two by ``_each``, as a union would spread it over two partitions, and the smallest neighbour comes from
+a window, as a join would shuffle.  Spark keeps a thread of the driver for each shuffle and broadcast of the
+last minute, and rounds of small tables would make hundreds of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, fewer
 
+#: Links of a round, either way round, that one task takes.
+ONE_TASK = 100_000
+
+
+def _each(df: DataFrame, *pairs: tuple[str, str], names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """A row with columns ``names`` for each of ``pairs`` of columns, for every row of ``df``."""
+    rows = [F.struct(*[F.col(c).alias(name) for c, name in zip(pair, names, strict=True)]) for pair in pairs]
+    return df.select(F.explode(F.array(*rows)).alias("__row")).select(*[F.col("__row")[name].alias(name) for name in names])
+
 
 def _relink(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Large star: each node links its larger neighbours to its smallest; small star: its smaller ones
-    and itself.  The smallest neighbour comes from a pre-aggregated minimum, so a node with very many
-    neighbours is never gathered in one place."""
+    and itself.  Beyond ``ONE_TASK`` rows the smallest neighbour comes from a pre-aggregated minimum, so a
+    node with very many neighbours is never gathered in one place."""
+    few = rows <= ONE_TASK
+    if few:
+        edges = edges.coalesce(1)
     if large:
-        near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = _each(edges, ("a", "b"), ("b", "a"))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    linked = fewer(near.join(least, "a"), rows)
+    if few:
+        linked = near.withColumn("m", F.least(F.min("b").over(Window.partitionBy("a")), F.col("a")))
+    else:
+        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        linked = fewer(near.join(least, "a"), rows)
     if large:
         out = linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return fewer(out.where(F.col("a") != F.col("b")).distinct(), rows)
+        out = _each(linked, ("b", "m"), ("a", "m"))
+    out = out.where(F.col("a") != F.col("b")).distinct()
+    return out if few else fewer(out, rows)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -47,5 +69,5 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         seen = now
     # a star per component is left: every edge points from a node to the smallest one
-    star = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
-    return star.union(star.select(F.col("component").alias("node"), "component")).distinct()
+    star = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return _each(star, ("a", "b"), ("b", "b"), names=("node", "component")).distinct()

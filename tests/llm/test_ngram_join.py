@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from millrace.llm import components as star
 from millrace.llm import ngram_join as j
 from millrace.llm.common import spread_join
 from millrace.llm.components import connected_components
@@ -149,3 +150,18 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert got == {k: 1 for k in range(1, 71)} | {100: 100, 200: 100}
     assert connected_components(links.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_components_by_joins_and_by_windows(spark, monkeypatch, one_task):
+    monkeypatch.setattr(star, "ONE_TASK", one_task)
+    links = spark.createDataFrame([(k, 300) for k in range(350, 250, -1)] + [(7, 300), (7, 7), (None, 7), (2, 1), (2, 3), (2, 3)], "a long, b long").repartition(3)
+    got = {r.node: r.component for r in connected_components(links).collect()}
+    assert got == dict.fromkeys([7, *range(251, 351)], 7) | dict.fromkeys([1, 2, 3], 1)
+
+
+def test_rounds_of_few_links_shuffle_nothing(spark):
+    # each shuffle and broadcast leaves a thread in the driver for a minute
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long").coalesce(1)
+    plan = star._relink(star._relink(edges, True, 4), False, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
