@@ -70,8 +70,8 @@ def join_lists(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 
     For few keys that many rows of both sides share, so that there are far more pairs than rows.  Rows are
     gathered in bounded lists by key, lists are paired, and the pairs of lists are dealt over all tasks, each
-    of which writes out its pairs of rows one by one.  No task gathers the rows of a key, whatever their
-    number, and no side is broadcast whole.  Lists are cut by the order of rows, which has to be the same when
+    of which writes out its pairs of rows one by one.  So the pairs of rows of a key are made by many
+    tasks; only its lists meet in one, unless Spark broadcasts them, and spill there if they are many.  Lists are cut by the order of rows, which has to be the same when
     a task is repeated, as it is in a scan.
     """
     if kind not in ("inner", "left"):
